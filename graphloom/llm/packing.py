@@ -91,12 +91,15 @@ def at_powers(pieces: list[tuple], total: int, capacity: int) -> Iterator[list[t
 class WordIds:
     """Token ids of texts, as little-endian bytes.
 
-    Text of plain letters, marks and spaces goes word by word through a bounded memory; any other text goes to the tokenizer as a whole.
+    Text of plain letters, marks and spaces goes word by word through a bounded memory; new words are encoded many at a time, and the ids of each
+    are told apart by the tokens that end a word. Any other text goes to the tokenizer as a whole.
     """
 
     def __init__(self, spec: str):
         import json
+        import re
 
+        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
@@ -105,10 +108,15 @@ class WordIds:
         model = json.loads(spec)
         steps = (model.get("normalizer") or {}).get("normalizers", [])
         split = ((model.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        known = [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
-        self.find = regex.compile(split["pattern"]["Regex"]).findall if known else None
+        mark = model["model"].get("end_of_word_suffix")
+        known = bool(mark) and [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed"
+        self.pieces = regex.compile(split["pattern"]["Regex"]).findall if known else None
+        vocab = model["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if known:
+            self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
         # ASCII without controls, and Latin-1 signs and letters: composed already, and lower-cased one by one
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-ÿ]*+").fullmatch
+        self.plain = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u00AC\u00AE-\u00FF]*").fullmatch
         self.specials = [t["content"] for t in model["added_tokens"]]
 
     def slow(self, text: str) -> bytes:
@@ -119,27 +127,38 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         from .token_count import chunks
 
-        if not self.find or any(s in text for s in self.specials):
+        if not self.pieces or any(s in text for s in self.specials):
             return self.slow(text)
         return b"".join(self.part(c) for c in chunks(text))
 
     def part(self, text: str) -> bytes:
-        import numpy as np
-
-        if not self.plain(text):
+        lowered = text.lower()
+        if not self.plain(text) or any(s in lowered for s in self.specials):
             return self.slow(text)
-        words = self.find(text.lower())
+        words = lowered.split()
         try:
             return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
             pass
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
-        for w, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False)):
-            self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
+        self.learn([w for w in dict.fromkeys(words) if w not in self.memo])
         return b"".join(map(self.memo.__getitem__, words))
 
+    def learn(self, words: list[str]) -> None:
+        import numpy as np
+
+        ids = np.asarray(self.whole.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        counts = np.fromiter((len(self.pieces(w)) for w in words), np.int64, len(words))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != counts.sum() or not counts.all():
+            self.memo.update((w, self.slow(w)) for w in words)
+            return
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends[np.cumsum(counts) - 1]).tolist()):
+            self.memo[w] = data[at:end]
+            at = end
+
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.

@@ -12,7 +12,7 @@ from graphloom.llm import packing, token_count  # noqa: E402
 from graphloom.llm.queries import op3_packing, op9_token_counts, tokenizer_path  # noqa: E402
 
 BYTES, WORDS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
-ODD = ["", "a", " ", "  \n\t x", "<|endoftext|>", "a<|endoftext|> <|endoftext|>b", "<|startoftext|>Hi", "İΣΣ Σ", "é é Å", "\x1c\x1d\x85\xa0 x​", "it's I'LL 'S 're", "漢字 \U0001f600\U0001f468‍\U0001f469", "\x00\x01\x7f", "1234 5²½", "ªºßẞ", "x" * 3000, "--!!?? ... …", "a  b   c    ", "́abc", "KKſ"]
+ODD = ["", "a", " ", "  \n\t x", "<|endoftext|>", "a<|endoftext|> <|endoftext|>b", "<|startoftext|>Hi", "<|STARTOFTEXT|> <|EndOfText|>", "</w> a</w>", "İΣΣ Σ", "é é Å", "\x1c\x1d\x85\xa0 x​", "it's I'LL 'S 're", "漢字 \U0001f600\U0001f468‍\U0001f469", "\x00\x01\x7f", "1234 5²½", "ªºßẞ", "x" * 3000, "--!!?? ... …", "a  b   c    ", "́abc", "KKſ"]
 
 
 def random_texts(n=300):
@@ -38,7 +38,7 @@ def test_counts_match_the_library(docs_of, corpus):
 def test_ids_match_the_library_in_chunks_too(monkeypatch, corpus):
     t = Tokenizer.from_file(WORDS)
     words = packing.WordIds(open(WORDS, encoding="utf-8").read())
-    assert words.find
+    assert words.pieces
     for size in (token_count.CHUNK, 50):
         monkeypatch.setattr(token_count.chunks, "__defaults__", (size,))
         for x in ODD + random_texts() + corpus:
