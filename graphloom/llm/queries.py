@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, packing, simhash, suffix_dedup, token_count, url_filter
+from . import decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, token_count, url_filter
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.window_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_packing, op5_suffix_dedup, op7_url_filters, op8_decontamination, op9_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_packing, op4_quality, op5_suffix_dedup, op7_url_filters, op8_decontamination, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
