@@ -8,29 +8,31 @@ documents. What is left when a partition ends is cut at powers of two, which nee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
 #: Documents whose remainders are held at a time, and pieces of the pool that are left open between fillings.
 POOL, OPEN = 4096, 1024
-MEMO = 300_000
+#: Words that a worker remembers, and characters of texts whose new words it learns together.
+MEMO, GROUP = 1_000_000, 1 << 18
 
 
-def best_fill(counts: dict[int, int], room: int) -> tuple[int, dict[int, int]]:
-    """The sum closest to ``room``, not above it, of a sub-multiset of ``counts`` (length to count), and how often it takes each length."""
+def best_fill(lengths: list[int], count: Callable[[int], int], room: int) -> tuple[int, dict[int, int]]:
+    """The sum closest to ``room``, not above it, of a multiset of ``lengths`` (ascending; each ``count(length)`` times), and how often it takes each length."""
     mask = (1 << (room + 1)) - 1
-    reach, steps = 1, []
-    for length in sorted((x for x in counts if 0 < x <= room), reverse=True):
-        left, times = min(counts[length], room // length), 1
+    reach, steps, k = 1, [], bisect_right(lengths, room)
+    while k and not reach >> room & 1:
+        k -= 1
+        length = lengths[k]
+        left, times = min(count(length), room // length), 1
         while left and not reach >> room & 1:
             take = min(times, left)
             steps.append((length, take, reach))
             reach |= reach << length * take & mask
             left -= take
             times *= 2
-        if reach >> room & 1:
-            break
     total = at = reach.bit_length() - 1
     used: dict[int, int] = {}
     for length, take, before in reversed(steps):
@@ -47,23 +49,25 @@ def fill(pool: dict[int, list], capacity: int, leave: int, close: bool) -> Itera
     """
     aside: list = []
     size = sum(map(len, pool.values()))
+    lengths = sorted(pool)
+
+    def take(length: int):
+        piece = pool[length].pop()
+        if not pool[length]:
+            del pool[length]
+            lengths.pop(bisect_left(lengths, length))
+        return piece
+
     while size > leave:
-        longest = max(pool)
-        lead = pool[longest].pop()
-        if not pool[longest]:
-            del pool[longest]
+        longest = lengths[-1]
+        lead = take(longest)
         size -= 1
-        total, used = best_fill({k: len(v) for k, v in pool.items()}, capacity - longest) if longest < capacity else (0, {})
+        total, used = best_fill(lengths, lambda x: len(pool[x]), capacity - longest) if longest < capacity else (0, {})
         if total + longest < capacity and not close:
             aside.append((longest, lead))
             continue
-        taken = [lead]
-        for length, n in used.items():
-            taken += [pool[length].pop() for _ in range(n)]
-            size -= n
-            if not pool[length]:
-                del pool[length]
-        yield taken
+        size -= sum(used.values())
+        yield [lead, *(take(length) for length, n in used.items() for _ in range(n))]
     for length, piece in aside:
         pool.setdefault(length, []).append(piece)
 
@@ -125,39 +129,56 @@ class WordIds:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        return next(iter(self.many([text])))
+
+    def many(self, texts) -> Iterator[bytes]:
+        """The ids of each text, in turn; new words of about GROUP characters are learned together."""
         from .token_count import chunks
 
-        if not self.pieces or any(s in text for s in self.specials):
-            return self.slow(text)
-        return b"".join(self.part(c) for c in chunks(text))
-
-    def part(self, text: str) -> bytes:
-        lowered = text.lower()
-        if not self.plain(text) or any(s in lowered for s in self.specials):
-            return self.slow(text)
-        words = lowered.split()
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            pass
+        group: list[bytes | list] = []  # ids, or the parts of a text: ids or words
+        size = 0
+        for text in texts:
+            if not self.pieces or any(s in text for s in self.specials):
+                group.append(self.slow(text))
+            else:
+                parts = []
+                for c in chunks(text):
+                    lowered = c.lower()
+                    if self.plain(c) and not any(s in lowered for s in self.specials):
+                        parts.append(lowered.split())
+                    else:
+                        parts.append(self.slow(c))
+                group.append(parts)
+            size += len(text)
+            if size >= GROUP:
+                yield from self.known(group)
+                group, size = [], 0
+        yield from self.known(group)
+
+    def known(self, group: list) -> Iterator[bytes]:
+        words = set().union(*(p for parts in group if isinstance(parts, list) for p in parts if isinstance(p, list)))
         if len(self.memo) > MEMO:
             self.memo.clear()
-        self.learn([w for w in dict.fromkeys(words) if w not in self.memo])
-        return b"".join(map(self.memo.__getitem__, words))
+        new = words.difference(self.memo)
+        if new:
+            self.learn(list(new))
+        get = self.memo.__getitem__
+        for parts in group:
+            yield parts if isinstance(parts, bytes) else b"".join(p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts)
 
     def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        ids = np.asarray(self.whole.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        counts = np.fromiter((len(self.pieces(w)) for w in words), np.int64, len(words))
+        lines = [" ".join(words[k : k + 512]) for k in range(0, len(words), 512)]
+        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.whole.encode_batch_fast(lines, add_special_tokens=False)])
+        # a word of letters is one piece, and one more with a sign behind it
+        counts = np.fromiter((1 if w.isalpha() else 2 if w[-1] in ",." and w[:-1].isalpha() else len(self.pieces(w)) for w in words), np.int64, len(words))
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != counts.sum() or not counts.all():
             self.memo.update((w, self.slow(w)) for w in words)
             return
-        data, at = ids.tobytes(), 0
-        for w, end in zip(words, (4 * ends[np.cumsum(counts) - 1]).tolist()):
-            self.memo[w] = data[at:end]
-            at = end
+        data, cuts = ids.tobytes(), (4 * ends[np.cumsum(counts) - 1]).tolist()
+        self.memo.update(zip(words, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,8 +227,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
         kind_arrow = None
         for batch in batches:
             kind_arrow = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.many(t.as_py() or "" for t in batch.column(1))):
+                ids += end
                 n = len(ids) // 4
                 whole = n - n % capacity
                 for start in range(0, whole, capacity):

@@ -53,7 +53,7 @@ def test_best_fill_against_brute_force():
         sums = {0}
         for length, n in counts.items():
             sums = {s + k * length for s in sums for k in range(n + 1)}
-        total, used = packing.best_fill(counts, room)
+        total, used = packing.best_fill(sorted(counts), counts.__getitem__, room)
         assert total == max(s for s in sums if s <= room)
         assert sum(k * n for k, n in used.items()) == total and all(n <= counts[k] for k, n in used.items())
 
