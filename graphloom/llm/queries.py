@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, token_count, url_filter
+from . import decontaminate, exact_dedup, packing, pii, quality, quotes, simhash, suffix_dedup, token_count, url_filter
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.window_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.digest(quotes.link_quotes(table(spark, sf_dir, "conversations")))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -48,9 +52,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed key, so that results can be compared; real runs pass a secret one to the operator."""
+    return pii.digest(pii.pseudonymise(table(spark, sf_dir, "documents"), b"key of the registered query"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_packing, op4_quality, op5_suffix_dedup, op7_url_filters, op8_decontamination, op9_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_packing, op4_quality, op5_suffix_dedup, op6_quote_linking, op7_url_filters, op8_decontamination, op9_token_counts, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op7_url_filters": url_filter.ORACLE, "op8_decontamination": decontaminate.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op6_quote_linking": quotes.ORACLE, "op7_url_filters": url_filter.ORACLE, "op8_decontamination": decontaminate.ORACLE}
