@@ -16,6 +16,28 @@ FILTER_BITS = 1 << 27
 _own_dirs: dict[str, str] = {}
 
 
+def worker_cache(name: str, key=None, make=lambda: None):
+    """What ``make`` gives, kept by a Python worker for later tasks of one operator only.
+
+    Workers outlive stages, so another operator's cache is dropped first; operators without one of their own call this to free memory.
+    """
+    import sys
+
+    held = sys.__dict__.setdefault("_graphloom_cache", {})
+    if held.get("of") != (name, key):
+        had = bool(held)
+        held.clear()
+        if had:
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        held.update({"of": (name, key), "value": make()})
+    return held["value"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

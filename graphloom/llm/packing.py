@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
+from .common import worker_cache
+
 #: Documents whose remainders are held at a time, and pieces of the pool that are left open between fillings.
 POOL, OPEN = 4096, 1024
 #: Words that a worker remembers, and characters of texts whose new words it learns together.
@@ -193,18 +195,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
 
     def work(batches: Iterator) -> Iterator:
         import os
-        import sys
         from zlib import crc32
 
         import pyarrow as pa
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        kept = sys.__dict__.setdefault("_graphloom_ids", {})
-        key = hash(spec.value)
-        if key not in kept:
-            kept[key] = WordIds(spec.value)
-        encode, end = kept[key], int(end_id).to_bytes(4, "little")
+        encode = worker_cache("packing", hash(spec.value), lambda: WordIds(spec.value))
+        end = int(end_id).to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
         pool: dict[int, list] = {}
         rows: list[tuple] = []

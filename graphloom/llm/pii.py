@@ -13,6 +13,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 ROUNDS = 8
 
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -263,7 +265,7 @@ def pseudonymise(docs: DataFrame, key: bytes, inverse: bool = False, id_col: str
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        replace = Pseudonymiser(key, inverse)
+        replace = worker_cache("pii", (key, inverse), lambda: Pseudonymiser(key, inverse))
         for batch in batches:
             out = [(None, 0, 0, 0) if t is None else replace(t) for t in batch.column(1).to_pylist()]
             columns = list(zip(*out)) or [[]] * 4

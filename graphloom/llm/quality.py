@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_cache, written
 
 #: Labelled rows that a model is fitted on, tasks that sum normal equations, random features, and the ridge added per training row.
 MAX_TRAIN, SUMS, FEATURES, RIDGE = 200_000, 16, 256, 1e-4
@@ -80,7 +80,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = byte_kinds()
+        kinds = worker_cache("quality", "kinds", byte_kinds)
         for batch in batches:
             rows = [statistics(t.as_py() or "", kinds) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["id", "stats"])
@@ -240,7 +240,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
         import numpy as np
         import pyarrow as pa
 
-        kinds = byte_kinds()
+        kinds = worker_cache("quality", "kinds", byte_kinds)
         for batch in batches:
             rows = np.array([statistics(t.as_py() or "", kinds) for t in batch.column(place)], np.float32).reshape(-1, N_STATS)
             yield batch.filter(pa.array(model.score(rows.astype(np.float64)) >= threshold))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import without, worker_cache, written
 from .components import roots
 
 #: Members of a group that one task links at once; a larger group is split.
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import numpy as np
         import pyarrow as pa
 
+        worker_cache("simhash")
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_of, maybe_in, written
+from .common import filter_of, maybe_in, worker_cache, written
 
 #: Bytes of a window and of its anchor; text bytes that one bucket of a pass stands for.
 WINDOW, ANCHOR, BUCKET_BYTES = 50, 24, 8 << 20
@@ -302,7 +302,7 @@ def anchor_pass(bits: int):
     def work(batches: Iterator) -> Iterator:
         import numpy as np
 
-        consts, records = constants(), Records(bits)
+        consts, records = worker_cache("suffixes", "constants", constants), Records(bits)
 
         def rows():
             for batch in batches:
@@ -382,7 +382,7 @@ def window_pass(bits: int):
     def work(batches: Iterator) -> Iterator:
         import numpy as np
 
-        consts, records = constants(), Records(bits)
+        consts, records = worker_cache("suffixes", "constants", constants), Records(bits)
 
         def rows():
             for batch in batches:
@@ -422,7 +422,7 @@ def cut_pass(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    consts = constants()
+    consts = worker_cache("suffixes", "constants", constants)
     for batch in batches:
         ids = batch.column(0).to_pylist()
         texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]

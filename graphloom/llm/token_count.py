@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from .common import worker_cache
+
 #: The pieces of a byte-level tokenizer's text (a fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -117,15 +119,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator) -> Iterator:
-        import sys
-
         import pyarrow as pa
 
-        kept = sys.__dict__.setdefault("_graphloom_counters", {})  # lives as long as the worker
-        key = hash(spec.value)
-        if key not in kept:
-            kept[key] = Counter(PairMerger(spec.value))
-        counter = kept[key]
+        counter = worker_cache("token counts", hash(spec.value), lambda: Counter(PairMerger(spec.value)))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [counter(t) for t in texts]
