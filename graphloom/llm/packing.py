@@ -17,8 +17,8 @@ from .common import worker_cache
 
 #: Documents whose remainders are held at a time, and pieces of the pool that are left open between fillings.
 POOL, OPEN = 4096, 1024
-#: Words that a worker remembers, and characters of texts whose new words it learns together.
-MEMO, GROUP = 1_000_000, 1 << 18
+#: Words that a task remembers, and characters of texts whose new words it learns together.
+MEMO, GROUP = 450_000, 1 << 18
 
 
 def best_fill(lengths: list[int], count: Callable[[int], int], room: int) -> tuple[int, dict[int, int]]:
@@ -250,6 +250,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
                 put(part)
         if rows:
             yield out()
+        encode.memo.clear()  # the worker may wait long for its next task
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
