@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +102,6 @@ def find_json(text: str) -> str | None:
 
 def extracted_json(df: DataFrame, column: str, out: str = "json") -> DataFrame:
     """``df`` with the JSON found in each text; balanced braces are beyond regular expressions, so this runs in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def find(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: find_json(t) if isinstance(t, str) else None)
