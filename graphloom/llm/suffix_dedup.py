@@ -29,6 +29,9 @@ WINDOW, ANCHOR, BUCKET_BYTES = 50, 24, 8 << 20
 #: Bytes of texts that a worker looks at together; records that it holds before it passes them on.
 SEGMENT, HELD = 1 << 20, 3_000_000
 
+#: Contexts of one anchor among the records held, above which the anchor is dealt out by its windows.
+SPLIT = 256
+
 
 def constants():
     import numpy as np
@@ -258,14 +261,30 @@ def batches_of(rows: Iterator[tuple], size: int = 20_000) -> Iterator:
         yield as_batch(held)
 
 
-def dealt(first, second, doc, bits: int) -> Iterator[tuple]:
-    """Keep the smallest document of equal groups, note what the others lose, and pack the rest by bucket."""
+def dealt(first, second, doc, bits: int, go_on: bool) -> Iterator[tuple]:
+    """Keep the smallest document of equal groups, note what the others lose, and pack the rest by bucket.
+
+    If ``go_on``, an anchor with more than SPLIT contexts here is known to be open: its contexts go to the third pass at once, and only two of
+    its documents to the bucket, where they show others that the anchor is shared. So no anchor, however common, fills a bucket.
+    """
     import numpy as np
 
     order, head, above = smallest(first, second, doc)
     lost = order[above]
     yield from by_doc(LOST, doc[lost], folded(first[lost], second[lost]))
-    kept = np.sort(order[head])
+    kept = order[head]
+    if go_on and len(kept):
+        f, d = first[kept], doc[kept]
+        cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+        sizes = np.diff(np.r_[cuts, len(f)])
+        hot = np.repeat((sizes > SPLIT) & (np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts)), sizes)
+        if hot.any():
+            rows = kept[hot]
+            yield from by_doc(OPEN, doc[rows], folded(first[rows], second[rows]))
+            rows = rows[np.lexsort((doc[rows], first[rows]))]
+            edge = first[rows][1:] != first[rows][:-1]
+            kept = np.concatenate([kept[~hot], rows[np.r_[True, edge] | np.r_[edge, True]]])
+    kept = np.sort(kept)
     bucket = first[kept] >> np.uint64(64 - bits)
     kept = kept[np.lexsort((doc[kept], bucket))]
     bucket = first[kept] >> np.uint64(64 - bits)
@@ -278,8 +297,8 @@ def dealt(first, second, doc, bits: int) -> Iterator[tuple]:
 class Records:
     """Gathers records of a pass and deals them out when there are enough."""
 
-    def __init__(self, bits: int):
-        self.bits, self.parts, self.size = bits, [], 0
+    def __init__(self, bits: int, go_on: bool):
+        self.bits, self.go_on, self.parts, self.size = bits, go_on, [], 0
 
     def add(self, first, second, doc) -> Iterator[tuple]:
         self.parts.append((first, second, doc))
@@ -293,7 +312,7 @@ class Records:
         if self.size:
             first, second, doc = (np.concatenate(x) for x in zip(*self.parts))
             self.parts, self.size = [], 0
-            yield from dealt(first, second, doc, self.bits)
+            yield from dealt(first, second, doc, self.bits, self.go_on)
 
 
 def anchor_pass(bits: int):
@@ -302,7 +321,7 @@ def anchor_pass(bits: int):
     def work(batches: Iterator) -> Iterator:
         import numpy as np
 
-        consts, records = worker_cache("suffixes", "constants", constants), Records(bits)
+        consts, records = worker_cache("suffixes", "constants", constants), Records(bits, True)
 
         def rows():
             for batch in batches:
@@ -382,7 +401,7 @@ def window_pass(bits: int):
     def work(batches: Iterator) -> Iterator:
         import numpy as np
 
-        consts, records = worker_cache("suffixes", "constants", constants), Records(bits)
+        consts, records = worker_cache("suffixes", "constants", constants), Records(bits, False)
 
         def rows():
             for batch in batches:

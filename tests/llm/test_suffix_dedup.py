@@ -52,6 +52,17 @@ def test_against_brute_force(docs_of):
     assert run(docs_of(texts, ", n_removed string")) == naive(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("held", [100, 3_000_000])
+def test_common_anchors_in_many_contexts(docs_of, held):
+    rng = random.Random(6)
+    line = "this very common line stands in many documents"
+    texts = [f"{rng.choice('ab') * rng.randint(0, 60)}{line}{rng.choice('cd') * rng.randint(0, 60)}" for _ in range(80)] + corpus(8, 10)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(op, "SPLIT", 2)
+        m.setattr(op, "HELD", held)
+        assert run(docs_of(texts)) == naive(list(enumerate(texts)))
+
+
 def test_ids_that_repeat_or_are_null_and_any_order(docs_of):
     texts = corpus(2, 30)
     rng = random.Random(7)
