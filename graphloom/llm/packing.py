@@ -17,8 +17,8 @@ from .common import worker_cache
 
 #: Documents whose remainders are held at a time, and pieces of the pool that are left open between fillings.
 POOL, OPEN = 4096, 1024
-#: Words that a task remembers, and characters of texts whose new words it learns together.
-MEMO, GROUP = 450_000, 1 << 18
+#: Characters of texts whose new words are learned together.
+GROUP = 1 << 18
 
 
 def best_fill(lengths: list[int], count: Callable[[int], int], room: int) -> tuple[int, dict[int, int]]:
@@ -101,7 +101,7 @@ class WordIds:
     are told apart by the tokens that end a word. Any other text goes to the tokenizer as a whole.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, remember: int = 1_000_000):
         import json
         import re
 
@@ -111,6 +111,7 @@ class WordIds:
 
         self.whole = Tokenizer.from_str(spec)
         self.memo: dict[str, bytes] = {}
+        self.remember = remember
         model = json.loads(spec)
         steps = (model.get("normalizer") or {}).get("normalizers", [])
         split = ((model.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -159,36 +160,48 @@ class WordIds:
 
     def known(self, group: list) -> Iterator[bytes]:
         words = set().union(*(p for parts in group if isinstance(parts, list) for p in parts if isinstance(p, list)))
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = words.difference(self.memo)
-        if new:
-            self.learn(list(new))
-        get = self.memo.__getitem__
+        self.trim()
+        # the memory is large and slow to reach, so each word of the group is looked up there once
+        words = list(words)
+        ids = dict(zip(words, map(self.memo.get, words)))
+        new = self.learned([w for w in words if ids[w] is None])
+        ids.update(new)
+        self.memo.update(new)
+        get = ids.__getitem__
         for parts in group:
             yield parts if isinstance(parts, bytes) else b"".join(p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts)
 
-    def learn(self, words: list[str]) -> None:
+    def trim(self) -> None:
+        """Half of the words are left once there are too many: the first ones, as frequent words come early."""
+        from itertools import islice
+
+        if len(self.memo) > self.remember:
+            self.memo = dict(islice(self.memo.items(), self.remember // 2))
+
+    def learned(self, words: list[str]) -> dict[str, bytes]:
         import numpy as np
 
+        if not words:
+            return {}
+
         lines = [" ".join(words[k : k + 512]) for k in range(0, len(words), 512)]
         ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.whole.encode_batch_fast(lines, add_special_tokens=False)])
         # a word of letters is one piece, and one more with a sign behind it
         counts = np.fromiter((1 if w.isalpha() else 2 if w[-1] in ",." and w[:-1].isalpha() else len(self.pieces(w)) for w in words), np.int64, len(words))
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != counts.sum() or not counts.all():
-            self.memo.update((w, self.slow(w)) for w in words)
-            return
+            return {w: self.slow(w) for w in words}
         data, cuts = ids.tobytes(), (4 * ends[np.cumsum(counts) - 1]).tolist()
-        self.memo.update(zip(words, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
+        return dict(zip(words, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", remember: int = 1_000_000) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each token of a document, its closing ``end_id`` included, lies in exactly one piece; a null or empty text is the closing id alone. Sequences
     are gapless from offset 0 and numbered by partition. Sequences hold ``capacity`` tokens or a power of two, so none needs padding.
-    Repeated rows and null ids are packed like any others. An empty table gives no rows.
+    Repeated rows and null ids are packed like any others. An empty table gives no rows. ``remember`` bounds the words whose ids a worker keeps
+    (about 250 bytes each); it changes the speed only.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -201,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = worker_cache("packing", hash(spec.value), lambda: WordIds(spec.value))
+        encode = worker_cache("packing", (hash(spec.value), remember), lambda: WordIds(spec.value, remember))
         end = int(end_id).to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
         pool: dict[int, list] = {}
@@ -250,7 +263,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
                 put(part)
         if rows:
             yield out()
-        encode.memo.clear()  # the worker may wait long for its next task
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -126,7 +126,7 @@ p AS (SELECT DISTINCT * FROM (
 o AS (SELECT conv_id, passage, min(turn) AS first FROM p WHERE kind = 0 GROUP BY ALL),
 f AS (SELECT p.conv_id, p.turn, p.kind, o.first FROM p JOIN o USING (conv_id, passage) WHERE p.kind > 0 AND o.first < p.turn),
 links AS (SELECT conv_id, turn, first AS parent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY kind, first DESC) AS k FROM f) WHERE k = 1),
-t AS (SELECT conv_id, turn, parent, parent AS top, 1 AS depth FROM links
+t AS (SELECT conv_id, turn, parent, parent AS top, 1::BIGINT AS depth FROM links
       UNION ALL SELECT t.conv_id, t.turn, t.parent, links.parent, t.depth + 1 FROM t JOIN links ON links.conv_id = t.conv_id AND links.turn = t.top),
 th AS (SELECT conv_id, turn, parent, arg_max(top, depth) AS top, max(depth) AS depth FROM t GROUP BY ALL),
 b AS (SELECT id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kind = 0), ''), '^\n+|\n+$', '', 'g') AS body,
