@@ -34,8 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents in training sequences."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """The pieces of the remaining documents in training sequences; workers remember few words, as the stages before have filled the executors' heaps."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), remember=300_000)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("packing", packing)]
