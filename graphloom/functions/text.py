@@ -56,6 +56,12 @@ def listed(text: Column, sign: str = ";") -> Column:
     return F.filter(F.transform(F.split(text, sign), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def string_items(items: Column) -> Column:
+    """The string items of a JSON list; others are left out."""
+    parts = F.try_variant_get(F.try_parse_json(items), F.lit("$"), "array<variant>")
+    return F.transform(F.filter(parts, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, F.lit("$"), "string"))
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     """An id made of its parts, the same in every run."""
     return F.concat(F.lit(prefix), F.left(F.sha2(F.concat_ws("\x1f", *parts), 256), F.lit(32)))

@@ -96,3 +96,19 @@ def strikes(rows: DataFrame) -> DataFrame:
     out = out.withColumns({"damage_level": damage(F.col("hit_probability")), "total_time_s": F.col("distance_m") / weapon_speed(F.col("weapon"))})
     rounds = F.when(F.col("hit_probability") > 0.3, 1).otherwise(2)
     return out.withColumns({"duration": F.greatest(F.lit(1), F.col("total_time_s").cast("bigint")), "cost": F.format_string("%.0fm, %.0fs, %d rounds", F.col("distance_m"), F.col("total_time_s"), rounds)})
+
+
+def route_rules(totals: DataFrame) -> DataFrame:
+    """Totals with columns entity and speed added by the caller, and texts of the route's precondition and effect as rule atoms."""
+    before = F.format_string(":Entity(%s) ^ moves(%s, %s) ^ hasSpeed(%s, %.0f) ^ hasStatus(%s, 'active')", "entity", "entity", "route", "entity", "speed", "entity")
+    after = F.format_string(":Patrol(%s) ^ hasStatus(%s, 'done') ^ hasCovered(%s, true) ^ hasDuration(%s, %d)", "route", "route", "route", "route", "duration")
+    return totals.withColumns({"precondition": before, "effect": after})
+
+
+def strike_rules(scored: DataFrame) -> DataFrame:
+    """Scored strikes with texts of precondition, effect and parts as rule atoms."""
+    before = F.format_string(":Entity(%s) ^ :Entity(%s) ^ strikes(%s, %s, %s) ^ hasWeapon(%s, '%s') ^ hasRange(%s, %.0f) ^ distance(%s, %s, %.0f)", "attacker", "target", "attacker", "target", "code", "attacker", "weapon", "weapon", "weapon_range_m", "attacker", "target", "distance_m")
+    status = F.when(F.col("hit_probability") > 0, "done").otherwise("out of range")
+    after = F.format_string(":Strike(%s) ^ hasStatus(%s, '%s') ^ hasHitProbability(%s, %.2f) ^ hasDamage(%s, '%s')", F.col("code"), F.col("code"), status, F.col("code"), F.col("hit_probability"), F.col("code"), F.col("damage_level"))
+    parts = F.format_string("lock(%s,%s,%.0fm) ^ launch(%s,%s,%.1fs) ^ hit(%s,%.1f%%) ^ damage(%s,%s)", F.col("attacker"), F.col("target"), F.col("distance_m"), F.col("weapon"), F.col("code"), F.col("total_time_s"), F.col("target"), F.col("hit_probability") * 100, F.col("target"), F.col("damage_level"))
+    return scored.withColumns({"precondition": before, "effect": after, "composed_of": parts})

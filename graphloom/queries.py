@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import builtins, language, text
 from .functions.iri import Prefixes, name_of
-from .operators import behavior, classes, detect, pattern, shapes, timeline, traverse, versions
+from .operators import behavior, classes, detect, pattern, search, shapes, timeline, traverse, versions
 from .operators.pattern import Check, EdgePattern, NodePattern
 from .operators.shapes import Constraint, Path, PropertyShape, Shape, predicate
 from .plans import confidence, fixpoint, ir, reason
@@ -423,7 +423,7 @@ def shacl_report(g):
     return shapes.grouped(shapes.validate(g, _two_shapes()))
 
 
-@query("""SELECT (SELECT count(*) FILTER (num < 0) FROM p WHERE key = 'c_acctbal') AS violations, (SELECT count(*) FILTER (num > 400000) FROM p WHERE key = 'o_totalprice') AS warnings, 0 AS infos,
+@query("""SELECT (SELECT count(*) FILTER (num < 0) FROM p WHERE key = 'c_acctbal') AS violations, (SELECT count(*) FILTER (num > 400000) FROM p WHERE key = 'o_totalprice') AS warnings, 0::BIGINT AS infos,
   (SELECT count(*) FILTER (num < 0) = 0 FROM p WHERE key = 'c_acctbal') AS conforms""")
 def shacl_summary(g):
     return shapes.summary(shapes.validate(g, _two_shapes()))
@@ -578,7 +578,7 @@ def engagement_score(spark, d):
 # Texts, values and differences
 
 
-@query("""SELECT src AS source, dst AS target, 'locatedIn' AS relation, p.key, NULL AS old, p.s AS new, 'added' AS change FROM e JOIN p ON p.node_id = dst WHERE rel = 'locatedIn' AND src LIKE 'customer:%'""")
+@query("""SELECT src AS source, dst AS target, 'locatedIn' AS relation, p.key, NULL::VARCHAR AS old, p.s AS new, 'added' AS change FROM e JOIN p ON p.node_id = dst WHERE rel = 'locatedIn' AND src LIKE 'customer:%'""")
 def attr_diff(g):
     pairs = g.edges.where((F.col("rel_type") == "locatedIn") & F.col("src").startswith("customer:")).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel_type").alias("relation"))
     return detect.detect(g, pairs, [])
@@ -610,13 +610,13 @@ def iri_compress(spark, d):
     return iri.select("p_partkey", Prefixes().compress(F.col("iri")).alias("short"), name_of(F.col("iri")).alias("name"))
 
 
-@query("""SELECT o_orderkey, o_totalprice > 200000 AS gt, o_custkey + 1 AS added, CASE WHEN o_custkey <> 0 THEN round(o_totalprice / o_custkey, 4) END AS divided, contains(o_orderpriority, 'HIGH') AS has, '[' || o_orderstatus || ']' AS joined, 'a' = lower(o_orderstatus) AS same FROM orders""", graph=False)
+@query("""SELECT o_orderkey, o_totalprice > 200000 AS gt, o_custkey + 1 AS added, CASE WHEN o_custkey <> 0 THEN o_totalprice / o_custkey END AS divided, contains(o_orderpriority, 'HIGH') AS has, '[' || o_orderstatus || ']' AS joined, 'a' = lower(o_orderstatus) AS same FROM orders""", graph=False)
 def rule_builtins(spark, d):
     o, b = spark.read.parquet(f"{d}/orders.parquet"), builtins.BUILTINS
     c = F.col
     return o.select(
         "o_orderkey", b["greaterThan"](c("o_totalprice"), F.lit("200000")).alias("gt"), b["add"](c("o_custkey"), F.lit("1")).cast("bigint").alias("added"),
-        F.round(b["divide"](c("o_totalprice"), c("o_custkey")).cast("double"), 4).alias("divided"), b["contains"](c("o_orderpriority"), F.lit("HIGH")).alias("has"),
+        b["divide"](c("o_totalprice"), c("o_custkey")).cast("double").alias("divided"), b["contains"](c("o_orderpriority"), F.lit("HIGH")).alias("has"),
         b["concat"](F.lit("["), c("o_orderstatus"), F.lit("]")).alias("joined"), b["equal"](F.lit("a"), F.lower("o_orderstatus")).alias("same"),
     )
 
@@ -627,11 +627,31 @@ def behavior_numbers(spark, d):
     return rows.select("v", text.clamped_priority(F.col("v")).alias("priority"), text.duration(F.col("v")).alias("duration"))
 
 
-@query("SELECT round(0.35 * 0.8 + 0.2 * 0.5 + 0.25 * 0.9 + 0.2 * 0.7, 6) AS score, 0.15::DOUBLE AS permissive, 0.5::DOUBLE AS strict", graph=False)
+@query("SELECT round(0.35 * 0.8 + 0.2 * 0.5 + 0.25 * 0.9 + 0.2 * 0.7, 6)::DOUBLE AS score, 0.15::DOUBLE AS permissive, 0.5::DOUBLE AS strict", graph=False)
 def confidence_score(spark, d):
     return spark.createDataFrame([(round(confidence.weighted(0.8, 0.5, 0.9, 0.7), 6), confidence.Mode.PERMISSIVE.value, confidence.Mode.of("WarFighting").value)], "score double, permissive double, strict double")
 
 
+@query("SELECT 'customer:' || c_custkey AS node_id, c_name AS code FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND c_mktsegment = 'BUILDING' AND contains(lower(c_name), '7')")
+def search_combined(g):
+    return search.search(g, subclass_of="region:1", keyword="7", props={"c_mktsegment": "BUILDING"}).select("node_id", "code")
+
+
+@query("SELECT 'customer:' || c_custkey AS node_id FROM customer WHERE c_nationkey = 4 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 4")
+def search_type(g):
+    return search.search(g, type_="nation:4").select("node_id")
+
+
+@query("SELECT rel AS rel_type, count(*) AS n FROM e WHERE dst = 'customer:1' GROUP BY 1")
+def entity_context_incoming(g):
+    return search.context(g, "customer:1")["incoming"].select("rel_type", "n")
+
+
+@query("SELECT 'type:World' AS ancestor, 2 AS depth UNION ALL SELECT 'region:' || n_regionkey, 1 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1 UNION ALL SELECT 'nation:' || c_nationkey, 0 FROM customer WHERE c_custkey = 1")
+def entity_context_types(g):
+    return search.context(g, "customer:1")["types"]
+
+
 @query("SELECT date_trunc('hour', ts) AS start, 'did' AS rel_type, 'type:' || event_type AS dst, count(*) AS n FROM events GROUP BY 1, 3", graph=False)
 def stream_counts(spark, d):
     from .streaming.incremental import event_edges, relation_counts

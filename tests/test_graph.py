@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from graphloom import vocab
 from graphloom.errors import MappingError, StoreError
-from graphloom.functions import iri, language, text
-from graphloom.operators import detect, pattern, timeline, traverse, versions
+from graphloom.functions import iri, language, text, tools
+from graphloom.operators import detect, pattern, search, timeline, traverse, versions
 from graphloom.operators.pattern import Check, EdgePattern, NodePattern
 from graphloom.plans import ir, reason
 from graphloom.plans.rules import Parser
 from graphloom.sources import graph as G
-from graphloom.sources import io
+from graphloom.sources import io, ontology
 from tests.graphs import demo, entity
 
 
@@ -207,6 +207,10 @@ def test_routes_and_strikes(spark):
                               "code string, attacker string, target string, attacker_lat double, attacker_lon double, target_lat double, target_lon double, target_depth double, weapon string, weapon_range_m double, confidence double")
     near, far = timeline.strikes(s).orderBy("code").collect()
     assert near.in_range and abs(near.hit_probability - 0.9 * (1 - near.distance_m / 20_000) * 0.9) < 1e-9 and near.duration == int(near.distance_m / 300)
+    told = timeline.strike_rules(timeline.strikes(s)).orderBy("code").first()
+    assert told.precondition.startswith(":Entity(a) ^ :Entity(b) ^ strikes(a, b, s)") and "hasDamage(s, 'heavy')" not in told.effect and told.composed_of.startswith("lock(a,b,")
+    ruled = timeline.route_rules(timeline.route_totals(legs).withColumns({"entity": F.lit("e"), "speed": F.lit(200.0)})).first()
+    assert "hasSpeed(e, 200)" in ruled.precondition and f"hasDuration(r, {total.duration})" in ruled.effect
     assert not far.in_range and far.hit_probability == 0 and far.damage_level == "none" and far.cost.endswith("2 rounds")
 
 
@@ -237,6 +241,32 @@ def test_texts(spark):
     assert {r.prefix: r.expressions for r in groups} == {"swrl": ["swrl:a", "swrl:b"], None: ["x"]}
 
 
+def test_search_and_context(world, spark):
+    got = lambda **k: ids(search.search(world, **k))
+    assert got(code="A") == ["a"] and got(type_="ship") == ["a"] and got(subclass_of="thing") == ["a", "b"] and got(subclass_of="ship") == ["a"] and got(keyword="ALPHA") == ["a", "c"]
+    assert got(keyword="a", props={"speed": 3}) == ["a"] and got(keyword="alpha", subclass_of="thing") == ["a"] and got() == ["a", "b", "c", "x"]
+    places = versions.insert(world, [{"labels": ["Entity"], "id": "p", "code": "P", "lat": 10.0, "lon": 20.0}, {"labels": ["Entity"], "id": "q", "code": "Q", "lat": 11.0, "lon": 20.0}])
+    assert ids(search.search(places, near=(10.1, 20.0, 50_000))) == ["p"]
+    about = search.context(world, "a")
+    assert {r.key for r in about["properties"].collect()} >= {"color", "mass", "speed"} and {(r.ancestor, r.depth) for r in about["types"].collect()} == {("t:ship", 0), ("t:thing", 1)}
+    assert {r.rel_type: r.samples for r in about["incoming"].collect()} == {"near": ["c"]} and about["outgoing"].count() == 4
+
+
+def test_ontology_and_tools(spark):
+    o = ontology.Ontology([ontology.ClassDecl("P", "Person"), ontology.ClassDecl("S", super_classes=("P",))], [ontology.PropertyDecl("knows", "P", "P", aspects=("symmetric",))], [ontology.IndividualDecl("a", types=("S",), values=(("age", 3),), links=(("knows", "b"),))])
+    g = o.graph(spark)
+    assert {(r.src, r.rel_type, r.dst, r.value) for r in g.edges.collect()} == {("S", "subClassOf", "P", None), ("P", "HAS_PROPERTY", "knows", None), ("knows", "HAS_RANGE", "P", None), ("a", "INSTANCE_OF", "S", None), ("a", "HAS_VALUE", "age", "3"), ("a", "knows", "b", None)}
+    assert g.props.where("key = 'symmetric' AND raw = 'true'").count() == 1
+    assert len(tools.ENGINE_TOOLS) == 13 and tools.ENGINE_TOOLS.find("create_type").as_dict()["function"]["parameters"]["required"] == ["name"] and tools.ENGINE_TOOLS.find("none") is None
+    assert tools.schema_of({"a": [1], "b": 2.5, "c": True, "d": None})["properties"] == {"a": {"type": "array", "items": {"type": "integer"}}, "b": {"type": "number"}, "c": {"type": "boolean"}, "d": {"type": "null"}}
+    assert tools.Call("f", '{"a": 1}').parsed() == {"a": 1}
+    with pytest.raises(ValueError, match="object"):
+        tools.Call("f", "[1]").parsed()
+    assert tools.describe(NodePattern("Entity", {"k": 1}), EdgePattern("r", "in"), NodePattern()) == "Entity where k is 1 with r from any node"
+    items = spark.range(1).select(text.string_items(F.lit('["a", 1, "b", null, {"c": 1}]')).alias("x"), text.string_items(F.lit("bad")).alias("y")).first()
+    assert items.x == ["a", "b"] and items.y is None
+
+
 def test_vocabulary():
     assert len(vocab.RELATIONS) == 15 and len(vocab.OWL_LABELS) == 6 and vocab.DOMAIN_LABELS[0] == "Entity" and len(vocab.AUDIT_KEYS) == 10 and len(vocab.EDGE_ACTION_KEYS) == 9
     assert vocab.ENTITY_OF_LABEL["Property"] == "ObjectProperty" and vocab.LABEL_OF_ENTITY["DatatypeProperty"] == "Property" and vocab.AXIOM_OF_RELATION["INSTANCE_OF"] == "ClassAssertion"
