@@ -130,11 +130,11 @@ def reachable(steps: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
 
 def summarize_relations(edges: DataFrame, top: int = 15) -> DataFrame:
     """The most frequent relation types: (rel_type, n, samples), three target samples each; ties by name."""
-    per_pair = edges.groupBy("rel_type", "dst").agg(F.count(F.lit(1)).alias("n"))
-    # samples by a bounded aggregate: the three smallest targets, without collecting the others
-    smallest = per_pair.selectExpr("rel_type", "dst", "n", "row_number() OVER (PARTITION BY rel_type ORDER BY dst) AS k")
-    summed = smallest.groupBy("rel_type").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.col("dst")))).alias("samples"))
-    return summed.orderBy(F.desc("n"), "rel_type").limit(top)
+    counts = edges.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rel_type").limit(top)
+    # the filter on row_number reaches below the shuffle as a group limit, so a type of any size sends three rows per task
+    least = edges.select("rel_type", "dst").distinct().selectExpr("rel_type", "dst", "row_number() OVER (PARTITION BY rel_type ORDER BY dst) AS k").where("k <= 3")
+    samples = least.groupBy("rel_type").agg(F.array_sort(F.collect_list("dst")).alias("samples"))
+    return counts.join(samples, "rel_type").select("rel_type", "n", "samples").orderBy(F.desc("n"), "rel_type")
 
 
 def next_steps(graph: Graph, top: int = 10, inference_only: bool = False) -> DataFrame:
