@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +26,38 @@ def base_facts(graph: Graph) -> DataFrame:
     )
 
 
-def atom_rows(facts: DataFrame, atom: Atom) -> DataFrame:
+@dataclass
+class Known:
+    """All facts so far: a graph's edges and derived facts. Atoms read the edges by relation type, so that their partitions are pruned."""
+
+    edges: DataFrame
+    derived: list[DataFrame] = field(default_factory=list)
+
+    def of(self, predicate: str, cls: str = "") -> DataFrame:
+        """Facts (FACT) of a predicate; of class facts, those of one class."""
+        fact = lambda rows, kind, subject, object_: rows.select(F.lit(kind).alias("kind"), F.col(subject).alias("subject"), F.lit(predicate).alias("predicate"), F.col(object_).alias("object"))
+        if cls:
+            out = fact(self.edges.where((F.col("rel_type") == INSTANCE_OF) & (F.col("dst") == cls)), CLASS, "src", "dst")
+        else:
+            out = fact(self.edges.where((F.col("rel_type") == HAS_VALUE) & (F.col("dst") == predicate)), DATA, "src", "value")
+            if predicate not in (HAS_VALUE, INSTANCE_OF):
+                out = fact(self.edges.where(F.col("rel_type") == predicate), RELATION, "src", "dst").unionByName(out)
+        for part in self.derived:
+            out = out.unionByName(facts_of(part, predicate, cls))
+        return out
+
+
+def facts_of(facts: DataFrame, predicate: str, cls: str = "") -> DataFrame:
+    rows = facts.select(*FACT).where(F.col("predicate") == predicate)
+    return rows.where((F.col("kind") == CLASS) & (F.col("object") == cls)) if cls else rows.where(F.col("kind") != CLASS)
+
+
+def atom_rows(source: Known | DataFrame, atom: Atom) -> DataFrame:
     """Bindings of one relational atom: a string column per variable; constants filter and a repeated variable unifies."""
-    if atom.kind == CLASS:
-        rows, slots = facts.where((F.col("kind") == CLASS) & (F.col("predicate") == INSTANCE_OF) & (F.col("object") == atom.name)), ("subject",)
-    else:
-        kinds = (RELATION, DATA) if atom.kind == RELATION else (DATA, RELATION)
-        rows, slots = facts.where(F.col("kind").isin(*kinds) & (F.col("predicate") == atom.name)), ("subject", "object")
+    predicate, cls = (INSTANCE_OF, atom.name) if atom.kind == CLASS else (atom.name, "")
+    rows = source.of(predicate, cls) if isinstance(source, Known) else facts_of(source, predicate, cls)
     bound: dict[str, str] = {}
-    for slot, arg in zip(slots, atom.args):
+    for slot, arg in zip(("subject", "object"), atom.args):
         if not arg.startswith("?"):
             number = atom.kind == DATA and slot == "object"
             same = F.col(slot) == arg
@@ -53,7 +78,7 @@ def joined(left: DataFrame | None, right: DataFrame) -> DataFrame:
     return left.join(right, shared) if shared else left.crossJoin(right)
 
 
-def bindings(graph: Graph, rule: Rule, sources: list[DataFrame]) -> DataFrame:
+def bindings(graph: Graph, rule: Rule, sources: list[Known | DataFrame]) -> DataFrame:
     """The bindings of a rule's body; ``sources`` has the facts that each atom of ``rule.ordered()`` reads."""
     rows = None
     for atom, facts in zip(rule.ordered(), sources):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.graph import Graph
 from ..sources.work import written
 from ..vocab import HAS_VALUE, INSTANCE_OF
-from .compile import FACT, base_facts, bindings, head_predicates, heads
+from .compile import FACT, Known, bindings, head_predicates, heads
 from .confidence import Gate, Mode, rule_score
 from .rules import CLASS, DATA, Rule
 
@@ -51,14 +51,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _made_by(facts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The facts that rules can make, so that the others are never compared with new ones."""
-    keep = F.lit(False)
-    for predicate, cls in head_predicates(rules):
-        keep = keep | ((F.col("predicate") == predicate) & (F.col("object") == cls if cls else F.lit(True)))
-    return facts.where(keep)
-
-
 def run(graph: Graph, rules: list[Rule], max_iterations: int = 100, threshold: float = Mode.BALANCED.value, version: str | None = None, on_round: Callable[[DataFrame], None] | None = None) -> Outcome:
     """Evaluate rules until no round makes a fact that is neither in the graph nor derived before.
 
@@ -67,7 +59,6 @@ def run(graph: Graph, rules: list[Rule], max_iterations: int = 100, threshold: f
     """
     began, gate = time.time(), Gate(threshold)
     spark, scope = graph.spark, graph.of_version(version)
-    base = base_facts(scope)
     makes = head_predicates(rules)
     parts: list[DataFrame] = []
     delta: DataFrame | None = None
@@ -77,7 +68,7 @@ def run(graph: Graph, rules: list[Rule], max_iterations: int = 100, threshold: f
             state = State.MAX_ITERATIONS
             break
         rounds += 1
-        known = _union([base, *(p.select(*FACT) for p in parts)])
+        known = Known(scope.edges, parts)
         candidates = []
         for k, rule in enumerate(rules):
             atoms = rule.ordered()
@@ -102,7 +93,8 @@ def run(graph: Graph, rules: list[Rule], max_iterations: int = 100, threshold: f
         scored = F.create_map(*(F.lit(x) for k in passed for x in (k, scores[k])))
         names = F.create_map(*(F.lit(x) for k in passed for x in (k, rules[k].name)))
         first = found.where(F.col("rule_no").isin(*passed)).groupBy(*FACT).agg(F.min("rule_no").alias("rule_no"))
-        new = first.join(_made_by(known, rules), list(FACT), "left_anti")
+        # new facts are compared with those that the rules can make, and with no others
+        new = first.join(_union([known.of(*m) for m in sorted(makes)]), list(FACT), "left_anti")
         new = written(new.select(*FACT, names[F.col("rule_no")].alias("rule"), scored[F.col("rule_no")].alias("confidence"), F.lit(rounds).alias("iter")), "facts")
         made = {r.rule: r.n for r in new.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not made:
@@ -133,5 +125,4 @@ def with_facts(graph: Graph, facts: DataFrame, version: str | None = None) -> Gr
 def derive_once(graph: Graph, rule: Rule, version: str | None = None) -> DataFrame:
     """The facts of one rule over the graph, as one lazy plan without dedup against known facts: (kind, subject, predicate, object)."""
     scope = graph.of_version(version)
-    facts = base_facts(scope)
-    return _union(heads(rule, bindings(scope, rule, [facts] * len(rule.ordered())))).distinct()
+    return _union(heads(rule, bindings(scope, rule, [Known(scope.edges)] * len(rule.ordered())))).distinct()
