@@ -101,7 +101,7 @@ class WordIds:
     are told apart by the tokens that end a word. Any other text goes to the tokenizer as a whole.
     """
 
-    def __init__(self, spec: str, remember: int = 1_000_000):
+    def __init__(self, spec: str, remember: int = 1_500_000):
         import json
         import re
 
@@ -195,7 +195,7 @@ class WordIds:
         return dict(zip(words, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", remember: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", remember: int = 1_500_000) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each token of a document, its closing ``end_id`` included, lies in exactly one piece; a null or empty text is the closing id alone. Sequences
