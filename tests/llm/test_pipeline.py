@@ -37,3 +37,28 @@ def test_stages_against_brute_force(spark, tmp_path):
         kept = got
     run = corpus_pipeline.run(spark, D).collect()
     test_tokens.check_packing(run, kept)
+
+
+LONG = "word and more " * 40_000
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, tmp_path, empty):
+    texts = ["", None, "fine words stand here in a row", "fine words stand here in a row", "fine  words stand here in a row", LONG, LONG + "end", "BAD!! BAD!! BAD!!", "\x00 é  ", "one"]
+    rows = [(i if i != 9 else None, t, None, None, None, "a", "b", i, None) for i, t in enumerate(texts)] + [(2, texts[2], "en", "s", 1, None, None, None, 0.5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, label string, row long, score double"
+    spark.createDataFrame([] if empty else rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i != 7), None) for i in range(8)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == before.columns
+        assert out.count() <= docs.count()
+        out.write.parquet(f"{tmp_path}/{stage.__name__}")
+        docs = spark.read.parquet(f"{tmp_path}/{stage.__name__}")
+    left = docs.collect()
+    assert sum(r.text == texts[2] for r in left) <= 1
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in left} and (empty or len(left) >= 3)
