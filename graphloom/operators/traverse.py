@@ -33,7 +33,7 @@ def explore(graph: Graph, starts: DataFrame, max_depth: int = 3, direction: str
         edges = edges.where(F.col("rel_type") == relation)
     if inference_only:
         edges = edges.where(has_inference_prefix(F.col("rel_type")) | F.coalesce(F.col("action_type") == "inference", F.lit(False)))
-    steps = directed(edges, direction).select("here", "there").distinct()
+    steps = directed(edges, direction).select("here", "there")  # doubled edges meet in the aggregate below
     own = graph.nodes.where("confidence IS NOT NULL").select(F.col("node_id").alias("there"), F.col("confidence").alias("own"))
     frontier = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(1.0).alias("confidence")).distinct()
     visited, out = frontier.select("start", "node"), []

@@ -44,7 +44,7 @@ def reason_on_nodes(graph: Graph, seeds: DataFrame, version: str | None = None,
 
     own = graph.nodes.where("confidence IS NOT NULL").select("node_id", F.col("confidence").alias("own"))
     texts = graph.props.where("key = 'hasPrecondition'").select("node_id", F.col("raw").alias("precondition"))
-    edges = graph.edges.where("action_type = 'inference'").select("src", "dst").distinct()
+    edges = graph.edges.where("action_type = 'inference'").select("src", "dst")
     frontier = seeds.select(F.col("node_id").alias("start"), "node_id", F.lit(float(confidence)).alias("confidence")).distinct()
     out, visited = [], None
     for hop in range(max_hops + 1):
