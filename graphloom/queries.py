@@ -333,6 +333,17 @@ def bfs_confidence_stop(g):
     return traverse.explore(g, seeds, 3, relation="placedBy", threshold=0.5).select("start", "node", F.round("confidence", 6).alias("confidence"), "blocked")
 
 
+def orders(g: Graph) -> DataFrame:
+    return g.nodes.where(F.col("node_id").startswith("order:")).select("node_id")
+
+
+@query("""SELECT 'order:' || o_orderkey AS start, 'customer:' || o_custkey AS node, round(least(1.0, greatest(0.0, c_acctbal / 10000)), 6) AS confidence, least(1.0, greatest(0.0, c_acctbal / 10000)) < 0.5 AS blocked
+  FROM orders JOIN customer ON o_custkey = c_custkey""")
+def bfs_confidence_stop_all(g):
+    """:func:`bfs_confidence_stop` from every order."""
+    return traverse.explore(g, orders(g), 3, relation="placedBy", threshold=0.5).select("start", "node", F.round("confidence", 6).alias("confidence"), "blocked")
+
+
 @query(""", a AS (SELECT src AS node, dst AS ancestor, 1 AS depth FROM e WHERE rel = 'subClassOf' UNION SELECT a.node, e.dst, depth + 1 FROM a JOIN e ON e.src = a.ancestor AND rel = 'subClassOf')
   SELECT node, ancestor, min(depth)::INTEGER AS depth FROM a GROUP BY 1, 2""", recursive=True)
 def ancestors(g):
