@@ -388,6 +388,14 @@ def pipeline_confidence(g):
     return reason.reason_on_nodes(g, seeds).steps.withColumn("confidence", F.round("confidence", 6))
 
 
+@query("""SELECT start, node_id, hop::INTEGER AS hop, round(conf, 6) AS confidence, CASE WHEN conf < 0.3 THEN 'low_confidence' ELSE 'ok' END AS state FROM (
+  SELECT 'order:' || o_orderkey AS start, 'order:' || o_orderkey AS node_id, 0 AS hop, 0.8 AS conf FROM orders
+  UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 1, 0.8 * least(1.0, greatest(0.0, c_acctbal / 10000)) FROM orders JOIN customer ON o_custkey = c_custkey)""")
+def pipeline_confidence_all(g):
+    """:func:`pipeline_confidence` from every order."""
+    return reason.reason_on_nodes(g, orders(g)).steps.withColumn("confidence", F.round("confidence", 6))
+
+
 # Shapes
 
 

@@ -23,3 +23,8 @@ def both(spark, name, d=D):
 def test_search_from_every_order(spark):
     got, want = both(spark, "bfs_confidence_stop_all")
     assert got == want and len(got) == spark.read.parquet(f"{D}/orders.parquet").count()
+
+
+def test_reasoning_from_every_order(spark):
+    got, want = both(spark, "pipeline_confidence_all")
+    assert got == want and len({r[0] for r in got}) == spark.read.parquet(f"{D}/orders.parquet").count()
