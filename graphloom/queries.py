@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -277,6 +278,18 @@ def rule_fixpoint_rounds(g):
     return out.select("subject", "object", "iter")
 
 
+@query(""", walk AS (SELECT src, dst, 1 AS d FROM e WHERE rel = 'next'
+    UNION ALL SELECT walk.src, e.dst, d + 1 FROM walk JOIN e ON e.src = walk.dst AND rel = 'next')
+  SELECT src AS subject, dst AS object, d::INTEGER AS iter FROM walk""", recursive=True)
+def rule_fixpoint_events(g):
+    """The rule of :func:`rule_fixpoint_rounds` over all events, to its fixpoint: as many rounds as the longest chain has events."""
+    rules = Parser().parse_all("[base: next(?a,?b) -> later(?a,?b)]\n[step: later(?a,?b) ^ next(?b,?c) -> later(?a,?c)]")
+    out = fixpoint.run(g, rules, max_iterations=sys.maxsize)
+    if out.state is not fixpoint.State.CONVERGED:
+        raise RuntimeError(f"the rules did not converge: {out.state.value}")
+    return out.facts.select("subject", "object", "iter")
+
+
 @query("""SELECT subject, predicate, object FROM (
   SELECT src AS subject, 'linked' AS predicate, dst AS object FROM e WHERE rel = 'locatedIn' AND src LIKE 'nation:%'
   UNION SELECT dst, 'linked', src FROM e WHERE rel = 'locatedIn' AND src LIKE 'nation:%')""")

@@ -28,3 +28,20 @@ def test_search_from_every_order(spark):
 def test_reasoning_from_every_order(spark):
     got, want = both(spark, "pipeline_confidence_all")
     assert got == want and len({r[0] for r in got}) == spark.read.parquet(f"{D}/orders.parquet").count()
+
+
+def test_recursion_over_all_events(spark, tmp_path):
+    for f in os.listdir(D):
+        if f != "events.parquet":
+            os.symlink(f"{D}/{f}", tmp_path / f)
+    events = spark.read.parquet(f"{D}/events.parquet")
+    few = events.where("event_id < 12").selectExpr("event_id + 60 AS event_id", "ts", "event_id % 2 AS user_id", "event_type", "value", "props")
+    few.coalesce(1).write.parquet(f"{tmp_path}/made")
+    part = next(f for f in os.listdir(tmp_path / "made") if f.endswith(".parquet"))
+    os.rename(tmp_path / "made" / part, tmp_path / "events.parquet")
+    chains = {}
+    for r in sorted(few.collect(), key=lambda r: (r.ts, r.event_id)):
+        chains.setdefault(r.user_id, []).append(f"event:{r.event_id}")
+    want = {(c[i], c[j], j - i) for c in chains.values() for i in range(len(c)) for j in range(i + 1, len(c))}
+    got = [tuple(r) for r in entry.queries()["rule_fixpoint_events"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and max(d for *_, d in got) == 5
