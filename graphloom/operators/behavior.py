@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.language import body_of, prefix_of
 from ..functions.text import clamped_priority, duration, listed
 from ..sources.graph import Graph
+from ..sources.work import written
 from ..values import loose_number
 from ..vocab import BEHAVIOR_KEYS
 
@@ -75,6 +76,17 @@ def batch(graph: Graph) -> DataFrame:
     return passes(graph, rows).withColumn("order_key", F.struct((-F.col("priority")).alias("p"), "duration", "node_id"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`batch` with their place from 1, by partitions of a range partitioning and an offset per partition."""
+    ranged = rows.repartitionByRange("order_key").sortWithinPartitions("order_key").withColumn("__at", F.monotonically_increasing_id())
+    ranged = written(ranged, "ordered").withColumn("__part", F.shiftright("__at", 33))
+    parts = ranged.groupBy(F.col("__part").alias("__own")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # one row per partition, so the window is small whatever the rows
+    parts = parts.selectExpr("*", "coalesce(sum(__n) OVER (ORDER BY __own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __before")
+    joined = ranged.join(written(parts, "offsets"), F.col("__part") == F.col("__own"))
+    return joined.withColumn("place", F.col("__at") - F.col("__first") + F.col("__before") + 1).select(*rows.columns, "place")
+
+
 def composed(graph: Graph, max_depth: int = 5) -> DataFrame:
     """Behaviours with their parts, down to a depth: (root, node_id, depth), the root at depth 0; a part is named by code or name.
 

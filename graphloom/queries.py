@@ -508,6 +508,13 @@ def behavior_order(g):
     return rows.selectExpr("node_id", "priority", "duration", "passes", "row_number() OVER (ORDER BY order_key) AS place").withColumn("place", F.col("place").cast("bigint"))
 
 
+@query("""SELECT node_id, priority, duration, passes, row_number() OVER (ORDER BY priority DESC, duration, node_id) AS place FROM (
+  SELECT 'part:' || p_partkey AS node_id, least(10, p_size % 15)::BIGINT AS priority, (p_partkey % 7)::BIGINT AS duration, p_size >= 10 AS passes FROM part)""")
+def behavior_order_all(g):
+    """:func:`behavior_order` with every behaviour in its place."""
+    return behavior.placed(behavior.batch(with_behaviors(g))).select("node_id", "priority", "duration", "passes", "place")
+
+
 @query(""", l AS (SELECT 'part:' || a.p_partkey AS at, 'part:' || b.p_partkey AS part FROM part a JOIN part b ON a.p_partkey % 10 = 0 AND b.p_partkey IN (a.p_partkey + 1, a.p_partkey + 10) WHERE a.p_size >= 10),
   c AS (SELECT 'part:' || p_partkey AS root, 'part:' || p_partkey AS node_id, 0 AS depth FROM part UNION SELECT c.root, l.part, depth + 1 FROM c JOIN l ON l.at = c.node_id WHERE depth < 3)
   SELECT root, node_id, depth::INTEGER AS depth FROM c""", recursive=True)
@@ -515,6 +522,14 @@ def behavior_composed(g):
     return behavior.composed(with_behaviors(g), 3)
 
 
+@query(""", l AS (SELECT 'part:' || a.p_partkey AS at, 'part:' || b.p_partkey AS part FROM part a JOIN part b ON a.p_partkey % 10 = 0 AND b.p_partkey IN (a.p_partkey + 1, a.p_partkey + 10) WHERE a.p_size >= 10),
+  c AS (SELECT 'part:' || p_partkey AS root, 'part:' || p_partkey AS node_id, 0 AS depth FROM part UNION SELECT c.root, l.part, depth + 1 FROM c JOIN l ON l.at = c.node_id WHERE depth < 5)
+  SELECT root, node_id, depth::INTEGER AS depth FROM c""", recursive=True)
+def behavior_composed_all(g):
+    """:func:`behavior_composed` down to the operator's own depth."""
+    return behavior.composed(with_behaviors(g))
+
+
 # Versions and writes
 
 

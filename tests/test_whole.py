@@ -45,3 +45,11 @@ def test_recursion_over_all_events(spark, tmp_path):
     want = {(c[i], c[j], j - i) for c in chains.values() for i in range(len(c)) for j in range(i + 1, len(c))}
     got = [tuple(r) for r in entry.queries()["rule_fixpoint_events"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and max(d for *_, d in got) == 5
+
+
+@pytest.mark.parametrize("name", ["behavior_order_all", "behavior_composed_all"])
+def test_behaviours_of_every_part(spark, name):
+    got, want = both(spark, name)
+    assert got == want and len(got) >= spark.read.parquet(f"{D}/part.parquet").count()
+    if name == "behavior_order_all":
+        assert sorted(r[-1] for r in got) == list(range(1, len(got) + 1))
