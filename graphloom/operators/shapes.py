@@ -162,7 +162,7 @@ def values(graph: Graph, focus: DataFrame, path: Path) -> DataFrame:
         inner = path.parts[0]
         if inner.kind != "predicate":
             raise ShapeError("a repeated path repeats a predicate")
-        up = closure(graph.edges.where(F.col("rel_type") == inner.parts[0]).select(F.col("src").alias("node"), F.col("dst").alias("above")), 50)
+        up = closure(graph.edges.where(F.col("rel_type") == inner.parts[0]).select(F.col("src").alias("node"), F.col("dst").alias("above")))
         rows = as_values(start.join(up.select(F.col("node").alias("at"), F.col("ancestor").alias("node")), "at"))
         return rows.unionByName(as_values(start.select("focus", F.col("at").alias("node")))) if path.kind == "zero_or_more" else rows
     raise ShapeError(f"unknown path {path.kind!r}")

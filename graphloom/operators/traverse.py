@@ -5,6 +5,9 @@ A frontier is a DataFrame; a hop is a join with the edges, and visited nodes are
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ from ..vocab import META_KEYS, SUB_CLASS_OF
 from .pattern import has_inference_prefix, is_domain, is_ontology_relation
 
 
+def hops(first: int, max_hops: int | None) -> Iterable[int]:
+    """Depths from ``first`` on: one beyond ``max_hops``, to see what it leaves, or without an end; a search ends as its frontier is empty."""
+    return count(first) if max_hops is None else range(first, max_hops + 2)
+
+
 def directed(edges: DataFrame, direction: str) -> DataFrame:
     """Edges (here, rel_type, there) in the direction of travel: out, in or both."""
     out = edges.select(F.col("src").alias("here"), "rel_type", F.col("dst").alias("there"))
@@ -53,12 +61,12 @@ def explore(graph: Graph, starts: DataFrame, max_depth: int = 3, direction: str
     return rows
 
 
-def closure(edges: DataFrame, max_hops: int) -> DataFrame:
-    """Rows (node, ancestor, depth) of paths over edges (node, above) of at most ``max_hops``, with the least depth of each pair; cycles end."""
+def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Rows (node, ancestor, depth) of paths over edges (node, above), of at most ``max_hops`` where given, with the least depth of each pair; cycles end."""
     step = written(edges.select("node", "above").distinct().where("node <> above"), "steps")
     frontier = step.select("node", F.col("above").alias("ancestor"), F.lit(1).alias("depth"))
     out, seen = [frontier], frontier.select("node", "ancestor")
-    for depth in range(2, max_hops + 1):
+    for depth in count(2) if max_hops is None else range(2, max_hops + 1):
         reached = frontier.select("node", F.col("ancestor").alias("at")).join(step.select(F.col("node").alias("at"), "above"), "at")
         new = reached.select("node", F.col("above").alias("ancestor")).where("node <> ancestor").distinct().join(seen, ["node", "ancestor"], "left_anti")
         frontier = written(new.withColumn("depth", F.lit(depth)), "closure")
@@ -101,13 +109,13 @@ def inherited_props(graph: Graph, max_hops: int = 20) -> DataFrame:
     return best.select(F.col("entity").alias("node_id"), "key", "b.kind", "b.raw", "b.num", "b.from_node", "b.depth")
 
 
-def ontology_closure(graph: Graph, seeds: DataFrame, max_hops: int = 20) -> DataFrame:
+def ontology_closure(graph: Graph, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Seeds (column node_id) and all nodes above them over ontology relations: (node_id, depth)."""
     steps = graph.edges.where(is_ontology_relation(F.col("rel_type"))).select("src", "dst")
     return reachable(steps, seeds, max_hops)
 
 
-def inference_closure(graph: Graph, seeds: DataFrame, max_hops: int = 50, by_prefix: bool = False) -> DataFrame:
+def inference_closure(graph: Graph, seeds: DataFrame, max_hops: int | None = None, by_prefix: bool = False) -> DataFrame:
     """Seeds and all original nodes downstream of them over inference edges (by action type or, if asked, by prefix and a domain label)."""
     edges = graph.edges.where(has_inference_prefix(F.col("rel_type"))) if by_prefix else graph.edges.where(F.col("action_type") == "inference")
     fit = graph.originals()
@@ -115,15 +123,17 @@ def inference_closure(graph: Graph, seeds: DataFrame, max_hops: int = 50, by_pre
     return reachable(edges.select("src", "dst").join(fit.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst"), seeds, max_hops)
 
 
-def reachable(steps: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
-    """Rows (node_id, depth) of what seeds reach over steps (src, dst), themselves at depth 0."""
+def reachable(steps: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Rows (node_id, depth) of what seeds reach over steps (src, dst), themselves at depth 0; a ``max_hops`` that leaves nodes unreached is an error."""
     frontier = written(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)), "reach")
     out = seen = frontier
-    for depth in range(1, max_hops + 1):
+    for depth in hops(1, max_hops):
         new = frontier.select(F.col("node_id").alias("src")).join(steps, "src").select(F.col("dst").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
         frontier = written(new.withColumn("depth", F.lit(depth)), "reach")
         if frontier.isEmpty():
             break
+        if max_hops is not None and depth > max_hops:
+            raise RuntimeError(f"more nodes lie beyond max_hops={max_hops}")
         out = seen = seen.unionByName(frontier)
     return out
 

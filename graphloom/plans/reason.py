@@ -25,11 +25,11 @@ class Report:
     inherited: DataFrame
 
 
-def reason_on_nodes(graph: Graph, seeds: DataFrame, version: str | None = None, confidence: float = 0.8, threshold: float = Mode.BALANCED.value, max_hops: int = 20) -> Report:
+def reason_on_nodes(graph: Graph, seeds: DataFrame, version: str | None = None, confidence: float = 0.8, threshold: float = Mode.BALANCED.value, max_hops: int | None = None) -> Report:
     """Copy the seeds (column node_id), the types above them and what lies downstream into a version; then follow inference edges from the seeds.
 
     Each step multiplies the confidence by the node's own, where it has one. A node below the threshold, or whose precondition does not
-    pass, is reported with state low_confidence or precondition, and its branch ends there.
+    pass, is reported with state low_confidence or precondition, and its branch ends there. A ``max_hops`` that leaves nodes unreached is an error.
     """
     above = traverse.ontology_closure(graph, seeds, max_hops).select("node_id")
     below = traverse.inference_closure(graph, seeds, max_hops).select("node_id")
@@ -47,13 +47,15 @@ def reason_on_nodes(graph: Graph, seeds: DataFrame, version: str | None = None,
     edges = graph.edges.where("action_type = 'inference'").select("src", "dst")
     frontier = seeds.select(F.col("node_id").alias("start"), "node_id", F.lit(float(confidence)).alias("confidence")).distinct()
     out, visited = [], None
-    for hop in range(max_hops + 1):
+    for hop in traverse.hops(0, max_hops):
         scored = frontier.join(own, "node_id", "left").withColumn("confidence", F.col("confidence") * F.coalesce("own", F.lit(1.0))).drop("own")
         judged = passes(graph, scored.join(texts, "node_id", "left"))
         state = F.when(F.col("confidence") < threshold, "low_confidence").when(~F.col("passes"), "precondition").otherwise("ok")
         level = written(judged.select("start", "node_id", F.lit(hop).alias("hop"), "confidence", state.alias("state")), "steps")
         if level.isEmpty():
             break
+        if max_hops is not None and hop > max_hops:
+            raise RuntimeError(f"more steps lie beyond max_hops={max_hops}")
         out.append(level)
         visited = level.select("start", "node_id") if visited is None else visited.unionByName(level.select("start", "node_id"))
         ahead = level.where("state = 'ok'").select("start", F.col("node_id").alias("src"), "confidence").join(edges, "src")
