@@ -71,11 +71,21 @@ def filter_of(df: DataFrame, keys: list[Column], bits: int = FILTER_BITS) -> Dat
     return bitmap_filter(df.select(F.explode(F.array(*slot_columns(*keys, bits=bits))).alias("slot")), "slot")
 
 
+def has_null_ids(docs: DataFrame, id_col: str) -> bool:
+    return not docs.where(F.col(id_col).isNull()).isEmpty()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, out: str = "__key") -> DataFrame:
+    """Add string ``out``, which is never null: the id or, where that is null, the digest of the text."""
+    digest = F.concat(F.lit("t"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return docs.withColumn(out, F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), digest))
+
+
 def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose id is in ``removed``, a written table of ids.
 
     Rows that a bounded filter clears pass straight through; only the rest, with their texts, shuffle for the exact anti-join.
-    Null ids are never removed.
+    Null ids are never removed; see :func:`keyed`.
     """
     ids = removed.select(F.col(id_col).alias("__removed")).where(F.col("__removed").isNotNull()).distinct()
     bitmap = written(filter_of(ids, [F.col("__removed")]), "removed-filter")

@@ -11,7 +11,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import has_null_ids, keyed, without, written
 
 #: Separators of words: ASCII that is neither a letter, once lower-cased, nor a digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -111,7 +111,9 @@ def digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` less the contaminated documents; all columns stay. Of rows that share an id, all go if one is contaminated."""
+    """``docs`` less the contaminated documents; all columns stay. Of rows that share an id, all go if one is contaminated; of rows with a null id, those whose text is."""
+    if has_null_ids(docs, id_col):
+        return drop_contaminated(keyed(docs, id_col, text_col), benchmark, "__key", text_col).drop("__key")
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(id_col)
     return without(docs, written(bad, "contaminated"), id_col)
 

@@ -49,11 +49,18 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Ids are expected to be unique; where rows with one id differ in text, a row goes if its own text is a copy.
     """
     verdicts = written(exact_dedup(docs, id_col, text_col), "verdicts")
-    dropped = verdicts.where("NOT kept")
-    doubled = written(verdicts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).where("n > 1 AND stay > 0 AND stay < n").select(id_col), "doubled")
-    if doubled.isEmpty():
-        return without(docs, written(dropped.select(id_col), "dropped"), id_col)
-    # Repeated ids: judge rows by id and text, and keep one of the rows that agree in both.
+    given, lone = F.col(id_col).isNotNull(), F.col(id_col).isNull()
+    doubled = written(verdicts.where(given).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).where("n > 1 AND stay > 0 AND stay < n").select(id_col), "doubled")
+    if not doubled.isEmpty():
+        return kept_by_text(docs, verdicts, id_col, text_col)
+    left = without(docs, written(verdicts.where("NOT kept").select(id_col), "dropped"), id_col)
+    if verdicts.where(lone & ~F.col("kept")).isEmpty():
+        return left
+    return left.where(given).unionByName(kept_by_text(docs.where(lone), verdicts.where(lone), id_col, text_col))
+
+
+def kept_by_text(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """For ids that repeat or are null: rows that are kept by id and text, and one of the rows that agree in both."""
     normal = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     keyed = docs.withColumn("__sha", F.sha2(normal, 256))
     stay = verdicts.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha256"))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, worker_cache, written
+from .common import has_null_ids, keyed, without, worker_cache, written
 from .components import roots
 
 #: Members of a group that one task links at once; a larger group is split.
@@ -233,6 +233,14 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, max_group:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document, of the smallest id, from each component; all columns stay. Rows with a null id stay."""
+    """``docs`` with one document, of the smallest id, from each component; all columns stay. Null ids come last, by their texts' digests."""
+    if has_null_ids(docs, id_col):
+        docs = keyed(docs, id_col, text_col)
+        # one order for all: ids, then the keys of rows without one
+        ranked = docs.withColumn("__rank", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key")))
+        found = near_duplicates(ranked, id_col="__rank", text_col=text_col, **options)
+        left = without(docs, written(found.where("__rank.key <> component_id.key").select("__rank.key").withColumnRenamed("key", "__key"), "near-copies"), "__key")
+        lone = left.where(F.col(id_col).isNull()).dropDuplicates(["__key"])
+        return left.where(F.col(id_col).isNotNull()).unionByName(lone).drop("__key")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     return without(docs, written(found.where(F.col(id_col) != F.col("component_id")).select(id_col), "near-copies"), id_col)
