@@ -84,6 +84,14 @@ def phone(digits: str, key: bytes, inverse: bool) -> str | None:
     return lead + permuted_digits(digits, key, b"phone", inverse, lambda d: d[0] not in "01" and d[3] not in "01")
 
 
+def odd_phone(digits: str, key: bytes, inverse: bool) -> str | None:
+    """Ten digits in the style of a phone number; those that :func:`phone` has no place for are permuted among themselves."""
+    lead, rest = (digits[0], digits[1:]) if len(digits) == 11 and digits[0] == "1" else ("", digits)
+    if len(rest) != 10 or phone(digits, key, inverse) is not None:
+        return phone(digits, key, inverse)
+    return lead + permuted_digits(rest, key, b"odd phone", inverse, lambda d: d[0] in "01" or d[3] in "01")
+
+
 def foreign_phone(digits: str, key: bytes, inverse: bool) -> str | None:
     """Eight to fifteen digits behind a plus sign: the last seven are permuted."""
     if not 8 <= len(digits) <= 15 or digits[0] == "0":
@@ -98,8 +106,13 @@ def social(digits: str, key: bytes, inverse: bool) -> str | None:
 
 def address(text: str, key: bytes, inverse: bool) -> str | None:
     parts = text.split(".")
-    if len(parts) != 4 or any(len(p) > 3 or int(p) > 255 or str(int(p)) != p for p in parts) or not 1 <= int(parts[0]) <= 223:
+    if len(parts) != 4 or any(len(p) > 3 or int(p) > 255 or str(int(p)) != p for p in parts):
         return None
+    if not 1 <= int(parts[0]) <= 223:  # 0 and 224 to 255 are a domain of their own
+        first = int(parts[0]) and int(parts[0]) - 223
+        x = feistel(int.from_bytes(bytes([first, *map(int, parts[1:])]), "big"), 33 << 24, key, b"ipv4 odd", inverse)
+        first, *rest = x.to_bytes(4, "big")
+        return ".".join(map(str, [first and first + 223, *rest]))
     x = feistel(int.from_bytes(bytes(map(int, parts)), "big"), 224 << 24, key, b"ipv4", inverse, lambda v: v >> 24 > 0)
     return ".".join(map(str, x.to_bytes(4, "big")))
 
@@ -156,12 +169,13 @@ class Pseudonymiser:
         self.key, self.inverse = key[:64], inverse
         month = "|".join(MONTHS) + "|" + "|".join(m[:3] for m in MONTHS)
         self.candidate = re.compile(
-            rf"(?<![\w.,/+-])(?:(?P<iso>[0-9]{{4}}([-/.])[0-9]{{1,2}}\2[0-9]{{1,2}})|(?P<dmy>[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\4[0-9]{{4}})|(?P<named>[0-9]{{1,2}} (?:{month}) [0-9]{{4}})"
+            rf"(?<![\w.+-])(?:(?P<iso>[0-9]{{4}}([-/.])[0-9]{{1,2}}\2[0-9]{{1,2}})|(?P<dmy>[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\4[0-9]{{4}})|(?P<named>[0-9]{{1,2}} (?:{month}) [0-9]{{4}})"
             r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})|(?P<social>[0-9]{3}-[0-9]{2}-[0-9]{4})|(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4})"
-            r"|(?P<foreign>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6})|(?P<card>[0-9](?:[ -]?[0-9]){12,18}))(?!\w|[.,/-][0-9])",
+            r"|(?P<foreign>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6})|(?P<card>[0-9](?:[ -]?[0-9]){12,18}))(?(iso)(?!(?![Tt][0-9]{2})\w|[.-][0-9])|(?!\w|[.-][0-9]))",
         )
         self.month_first = re.compile(rf"\b(?P<m>{month}) (?P<d>[0-9]{{1,2}}), (?P<y>[0-9]{{4}})(?!\w)")
         self.mail = re.compile(r"(?<![\w.%+-])(?P<name>[A-Za-z0-9][\w.%+-]*)@(?P<host>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![\w-])", re.ASCII)
+        self.more_path = re.compile("/[0-9]")
         self.any_digit = re.compile("[0-9]")
         self.numbers = self.dates = self.mails = 0
         self.memo: dict[tuple, str | None] = {}
@@ -200,6 +214,8 @@ class Pseudonymiser:
     def replaced(self, match) -> str:
         text, kind = match[0], match.lastgroup
         new = None
+        if (match[2] or match[4]) == "/" and (match.string.endswith("/", 0, match.start()) or self.more_path.match(match.string, match.end())):
+            return text  # part of a longer path
         if kind == "iso":
             new = self.dated(text, match[2], "ymd")
         elif kind == "dmy":
@@ -215,7 +231,7 @@ class Pseudonymiser:
         elif kind == "social":
             new = self.in_place(text, social)
         elif kind == "phone":
-            new = self.in_place(text, phone)
+            new = self.in_place(text, odd_phone if text[0] in "+(" or "(" in text else phone)
         elif kind == "foreign":
             new = self.in_place(text, foreign_phone)
         elif kind == "card":
@@ -258,7 +274,8 @@ class Pseudonymiser:
 def pseudonymise(docs: DataFrame, key: bytes, inverse: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text with pseudonyms, n_numbers, n_dates, n_mails.
 
-    Digits that are no valid value (a wrong check digit, a day that no calendar has) stay as they are. A null text stays null and has
+    Digits that are no valid value (a wrong check digit, a day that no calendar has) stay as they are. List commas, slashes (but not next to a
+    date with slashes) and the time of an ISO date end a value; a hyphen, or a full stop before a digit, does not. A null text stays null and has
     no values; an empty one stays empty. Repeated rows are treated alike; an empty table gives no rows. ``inverse`` undoes the same key.
     """
 

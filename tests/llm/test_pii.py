@@ -79,3 +79,18 @@ def test_query(spark):
         want[i] = (*n, hashlib.sha256(new.encode()).hexdigest())
     assert {r.doc_id: (r.n_numbers, r.n_dates, r.n_mails, r.text_sha256) for r in op10_pii(spark, d).collect()} == want
     assert sum(w[0] for w in want.values()) > 0
+
+
+def test_values_next_to_punctuation():
+    there, back = op.Pseudonymiser(KEY), op.Pseudonymiser(KEY, True)
+    plain = lambda t: there(t)[0]
+    ip, other, day, card, odd = "17.1.2.3", "17.1.2.4", "2001-01-01", "4690149265297988", "+1 (152) 555-8590"
+    for text, n, parts in [(f"x,{card},5", 1, [card]), (f"{ip},{other}", 2, [ip, other]), (f"{ip}/24 http://{other}/", 2, [ip, other]), (f"{day}/2001-02-01", 2, [day, "2001-02-01"]), (f"{day}T10:00:00Z,{day}t10:00", 2, [day]),
+                           (odd, 1, [odd]), ("1,(152) 555-8590", 1, ["(152) 555-8590"]), ("233.233.171.5 0.1.2.3", 2, ["233.233.171.5", "0.1.2.3"]), ("255.255.255.255", 1, ["255.255.255.255"])]:
+        new, numbers, dates, _ = there(text)
+        assert numbers + dates == n and not any(p in new for p in parts) and all(plain(p) in new for p in parts), text
+        assert back(new)[0] == text
+    for text in ("152-555-8590", "1,234,567,890 3,14", "x/2001/01/02 2001/01/02/3", "2001-01-01Tx", "256.1.1.1", "2001-01-01-5", "1.17.1.2.3"):
+        assert there(text) == (text, 0, 0, 0), text
+    assert plain(odd)[-8:] == plain("(152) 555-8590")[-8:]
+    assert [int(plain(f"{a}.9.9.9").split(".")[0]) in (0, *range(224, 256)) for a in (0, 223, 224, 255)] == [True, False, True, True]
