@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -27,7 +28,15 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back."""
+    """``df`` written once and read back; its schema is known, so no job looks for one in the files."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_any(df: DataFrame, name: str, condition: Column | bool = True) -> tuple[DataFrame, bool]:
+    """``df`` written and read back, and whether a row met the condition, which the write itself observes."""
+    seen = Observation()
+    met = F.lit(condition) if isinstance(condition, bool) else condition
+    table = written(df.observe(seen, F.count_if(met).alias("n")), name)
+    return table, bool(seen.get["n"])
