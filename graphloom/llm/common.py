@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import written
+from ..sources.work import written, written_any  # noqa: F401
 
 #: Slots of a bitmap filter: 2^27 bits are 16 MB, which bounds what a probe broadcasts, whatever the input.
 FILTER_BITS = 1 << 27

@@ -110,3 +110,17 @@ def test_query(spark):
     want = dict(zip(ids, naive_components(ids, [naive_print(texts[i]) for i in ids])))
     assert {r.doc_id: r.component_id for r in op1_simhash(spark, d).collect()} == want
     assert len(set(want.values())) < len(ids)
+
+
+def test_rounds_are_logarithmic(spark):
+    n, rng = 500, random.Random(12)
+    cycle = [(k, k - 1) for k in range(3, n)] + [(n - 1, 2), (n, 2)]
+    places = rng.sample(range(n), n)
+    tree = [(max(p), min(p)) for p in ((places[k], places[max(0, k - rng.randint(1, 3))]) for k in range(1, n))]
+    for pairs in (cycle, tree):
+        frame = spark.createDataFrame(pairs, "child long, parent long")
+        rounds, steps = components.contracted(frame)
+        nodes = {x for p in pairs for x in p}
+        assert len(rounds) <= np.log2(len(nodes)) and len(rounds) + steps <= 2 * np.log2(n) + 4
+        if pairs is tree:
+            assert {r.node: r.root for r in components.roots(frame).collect()} == dict.fromkeys(nodes - {min(nodes)}, min(nodes))
