@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from ..sources.work import written, written_any  # noqa: F401
 
-#: Slots of a bitmap filter: 2^27 bits are 16 MB, which bounds what a probe broadcasts, whatever the input.
-FILTER_BITS = 1 << 27
+#: Most slots of a bitmap filter: 2^30 bits are 128 MB, which bounds what a probe broadcasts, whatever the input. Slots per key below that bound.
+FILTER_BITS, SLOTS = 1 << 30, 16
+
+#: Most keys of a table that is broadcast as it is (16 to 64 bytes each).
+MAX_KEYS = 1 << 20
+
+
+def filter_bits(keys: int) -> int:
+    """The slots of a filter for a number of keys: at 16 a key and more, under 2 % of other keys pass; beyond 67 million keys more do."""
+    return max(1 << 15, min(FILTER_BITS, 1 << max(0, SLOTS * keys - 1).bit_length()))
 
 
 def worker_cache(name: str, key=None, make=lambda: None):
@@ -37,9 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slot_columns(*keys: Column, bits: int = FILTER_BITS) -> list[Column]:
-    """Two slots of a bitmap filter for a key, from two seeds of a 64-bit hash."""
-    return [F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(bits)) for seed in (17, 92821)]
+def slot_columns(*keys: Column, bits: int, level: int = 0) -> list[Column]:
+    """Two slots of a bitmap filter for a key, from two seeds of a 64-bit hash; filters of other levels have other seeds."""
+    return [F.pmod(F.xxhash64(*keys, F.lit(seed + level)), F.lit(bits)) for seed in (17, 92821)]
 
 
 def bitmap_filter(slots: DataFrame, slot: str) -> DataFrame:
@@ -54,10 +62,10 @@ def bit_is_set(bits: Column, slot: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def maybe_in(df: DataFrame, keys: list[Column], bitmap: DataFrame, out: str, bits: int = FILTER_BITS) -> DataFrame:
+def maybe_in(df: DataFrame, keys: list[Column], bitmap: DataFrame, out: str, bits: int, level: int = 0) -> DataFrame:
     """Add boolean ``out``: false only where the key is certainly not in ``bitmap``, which is broadcast (at most bits / 8 bytes)."""
     names = []
-    for k, slot in enumerate(slot_columns(*keys, bits=bits)):
+    for k, slot in enumerate(slot_columns(*keys, bits=bits, level=level)):
         side = bitmap.select(F.col("bucket").alias(f"__bucket{k}"), F.col("bits").alias(f"__bits{k}"))
         df = df.withColumn(f"__slot{k}", slot)
         df = df.join(F.broadcast(side), F.bitmap_bucket_number(f"__slot{k}") == F.col(f"__bucket{k}"), "left")
@@ -66,9 +74,9 @@ def maybe_in(df: DataFrame, keys: list[Column], bitmap: DataFrame, out: str, bit
     return df.withColumn(out, hit).drop(*names)
 
 
-def filter_of(df: DataFrame, keys: list[Column], bits: int = FILTER_BITS) -> DataFrame:
+def filter_of(df: DataFrame, keys: list[Column], bits: int, level: int = 0) -> DataFrame:
     """The bitmap filter of all keys of ``df``."""
-    return bitmap_filter(df.select(F.explode(F.array(*slot_columns(*keys, bits=bits))).alias("slot")), "slot")
+    return bitmap_filter(df.select(F.explode(F.array(*slot_columns(*keys, bits=bits, level=level))).alias("slot")), "slot")
 
 
 def has_null_ids(docs: DataFrame, id_col: str) -> bool:
@@ -81,14 +89,36 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, out: str = "__key") -> Da
     return docs.withColumn(out, F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), digest))
 
 
-def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose id is in ``removed``, a written table of ids.
+def cascade(ids: DataFrame, others: DataFrame) -> list[tuple[DataFrame, int]] | None:
+    """Filters (bitmap, bits) that tell ``ids`` from ``others``, both with column __id: the first holds the ids, the next the others that pass it, the third
+    the ids that pass the second, until none passes. None where a filter is at its bound and no longer thins out."""
+    filters, before, held = [], others, ids
+    while n := held.count():
+        bits, level = filter_bits(n), len(filters)
+        filters.append((written(filter_of(held, [F.col("__id")], bits, level), "filter"), bits))
+        passing = written(maybe_in(before, [F.col("__id")], filters[-1][0], "__maybe", bits, level).where("__maybe").select("__id"), "passing")
+        if bits == FILTER_BITS and 2 * passing.count() > before.count():
+            return None
+        before, held = held, passing
+    return filters
+
+
+def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", max_keys: int = MAX_KEYS) -> DataFrame:
+    """``docs`` less the rows whose id is in ``removed``, a written table of ids. Null ids are never removed; see :func:`keyed`.
 
-    Rows that a bounded filter clears pass straight through; only the rest, with their texts, shuffle for the exact anti-join.
-    Null ids are never removed; see :func:`keyed`.
+    Up to ``max_keys`` ids are broadcast themselves. For more, a :func:`cascade` is built from ids alone, and its broadcast bitmaps judge every row exactly, so no text is shuffled.
+    Where the bound of the filters stops that (from some 200 million ids on), texts are shuffled for a join.
     """
-    ids = removed.select(F.col(id_col).alias("__removed")).where(F.col("__removed").isNotNull()).distinct()
-    bitmap = written(filter_of(ids, [F.col("__removed")]), "removed-filter")
-    probed = maybe_in(docs, [F.col(id_col)], bitmap, "__maybe")
-    doubtful = probed.where("__maybe").join(ids, F.col(id_col) == F.col("__removed"), "left_anti")
-    return probed.where("NOT __maybe").unionByName(doubtful).select(*docs.columns)
+    ids = written(removed.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct(), "removed")
+    if ids.count() <= max_keys:
+        return docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_anti")
+    given = docs.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
+    filters = cascade(ids, given.join(ids, "__id", "left_anti"))
+    if filters is None:
+        return docs.join(ids, F.col(id_col) == F.col("__id"), "left_anti")
+    rows, gone = docs, F.lit(False)
+    for k, (bitmap, bits) in enumerate(filters):
+        rows = maybe_in(rows, [F.col(id_col)], bitmap, f"__in{k}", bits, k)
+    for k in reversed(range(len(filters))):
+        gone = F.col(f"__in{k}") & ~gone
+    return rows.where(F.col(id_col).isNull() | ~gone).select(*docs.columns)

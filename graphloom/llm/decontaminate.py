@@ -1,7 +1,7 @@
 """Benchmark decontamination by a set of test n-grams, in DataFrame operations only.
 
-One scan of the documents splits words and tests the first words of every window against a bounded bit array of the benchmark's windows, inside the row.
-Only windows that pass are kept, with their words, and verified by a join with the exact set of benchmark windows.
+One scan of the documents splits and hashes words and tests every window inside the row against tables of the benchmark's windows: first the hash of its
+leading words, then that of the whole window. Only windows that pass both are kept, with their words, and verified by a join with the exact set of benchmark windows.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_null_ids, keyed, without, written
+from .common import bitmap_filter, has_null_ids, keyed, without, written
 
 #: Separators of words: ASCII that is neither a letter, once lower-cased, nor a digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Words of a window that the first test looks at; most words of its bit array (8 bytes each); most windows whose set is broadcast.
-LEAD, MAX_WORDS, MAX_BROADCAST = 4, 1 << 15, 1_000_000
+#: Words of a window that the first test looks at; most slots of a table, of a byte each, and slots per window below that; most windows whose set is broadcast.
+LEAD, MAX_SLOTS, SLOTS, MAX_BROADCAST = 4, 1 << 24, 16, 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -32,21 +32,25 @@ def benchmark_windows(benchmark: DataFrame, width: int, id_col: str, text_col: s
     return items.select("item", F.explode(F.transform(starts, lambda i: F.slice("all", i, width))).alias("words")).select("item", F.size("words").alias("n"), "words")
 
 
-def lead_hash(words: str, at: Column, lead: int) -> Column:
-    return F.xxhash64(F.lit(lead), *(F.get(F.col(words), at + k) for k in range(lead)))
+def window_slot(hashes: Column, at: Column, n: Column, size: int) -> Column:
+    """The slot of the ``n`` words from ``at`` on, by their hashes."""
+    return F.pmod(F.xxhash64(n, F.slice(hashes, at + 1, n)), F.lit(size)).cast("int")
 
 
-def lead_bits(windows: DataFrame, size: int) -> DataFrame:
-    """One row with an array of ``size`` longs, in which the bits of the windows' leads are set."""
-    lead = None
-    for k in range(1, LEAD + 1):
-        value = lead_hash("words", F.lit(0), k)
-        lead = F.when(F.col("n") == k, value) if lead is None else (lead.when(F.col("n") == k, value) if k < LEAD else lead.otherwise(value))
-    slots = windows.select(F.pmod(lead, F.lit(size * 64)).alias("slot"))
-    spread = slots.select((F.col("slot") / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int")).alias("bits"))
-    spread = spread.unionByName(windows.sparkSession.range(size).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")))
-    by_word = spread.groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return by_word.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
+def taken(slots: DataFrame, size: int) -> Column:
+    """A literal with a byte per slot, 1 where it is taken: at most MAX_SLOTS bytes, read from at most ``size`` / 32768 rows of bitmaps."""
+    import numpy as np
+
+    rows = bitmap_filter(slots.select((F.col("slot") + 1).cast("long").alias("slot")), "slot").collect()  # bitmaps count from 1
+    table = np.zeros(size, np.uint8)
+    for r in rows:
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")[: size - 32768 * (r.bucket - 1)]
+        table[32768 * (r.bucket - 1) :][: len(bits)] = bits
+    return F.lit(bytearray(table.tobytes()))
+
+
+def is_taken(table: Column, slot: Column) -> Column:
+    return F.substring(table, slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -64,29 +68,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
         none = F.array().cast("array<string>"), F.array().cast("array<struct<start:int,n:int>>")
         zero = F.lit(0).cast("long")
         return split.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), none[0].alias("items"), none[1].alias("spans"), F.lit(False).alias("contaminated"))
-    size = 64
-    while size < MAX_WORDS and size * 2 < total:  # some 100 bits a window
+    size = 1 << 10
+    while size < MAX_SLOTS and size < SLOTS * total:
         size *= 2
-    bits = F.from_json(F.lit(str(lead_bits(windows, size).first().bits)), "array<bigint>")  # folded into one literal of at most 256 KB
-
-    def passes(at: Column) -> Column:
-        hits = None
-        for lead in sorted({min(n, LEAD) for n in widths}):
-            slot = F.pmod(lead_hash("words", at, lead), F.lit(size * 64))
-            hit = F.getbit(F.get(bits, (slot / 64).cast("int")), (slot % 64).cast("int")) == 1
-            hits = hit if hits is None else hits | hit
-        return hits
-
-    # sequence() counts down where its end is below its start, so it runs to at least 0; a window of no words passes no test below
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - widths[0])), passes)
-    found = F.transform(at, lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, width).alias("words")))
-    scanned = written(split.select("id", "row", F.size("words").cast("long").alias("n_words"), found.alias("found")), "scanned")
-
-    known = windows.groupBy(F.array_join("words", " ").alias("gram")).agg(F.collect_set(F.col("item").cast("string")).alias("item_set"))
+    leads = sorted({min(n, LEAD) for n in widths})
+    hashed = windows.select(F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "n")
+    lead_table = taken(hashed.select(window_slot(F.col("hashes"), F.lit(0), F.least("n", F.lit(LEAD)), size).alias("slot")), size)
+    whole_table = taken(hashed.select(window_slot(F.col("hashes"), F.lit(0), F.col("n"), size).alias("slot")), size)
+    split = split.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+
+    def leads_in(at: Column) -> Column:
+        slots = F.array(*(window_slot(F.col("hashes"), at, F.lit(k), size) for k in leads))
+        return F.exists(slots, lambda s: is_taken(lead_table, s)) if len(leads) > 1 else is_taken(lead_table, slots[0])
+
+    def windows_at(at: Column) -> Column:
+        fit = F.filter(F.array(*map(F.lit, widths)), lambda n: (at + n <= F.size("hashes")) & is_taken(whole_table, window_slot(F.col("hashes"), at, n, size)))
+        return F.transform(fit, lambda n: F.struct(at.alias("start"), n.alias("n"), F.array_join(F.slice("words", at + 1, n), " ").alias("gram")))
+
+    # sequence() counts down where its end is below its start, so it runs to at least 0
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("hashes") - widths[0])), leads_in)
+    scanned = written(split.select("id", "row", F.size("words").cast("long").alias("n_words"), F.flatten(F.transform(at, windows_at)).alias("found")), "scanned")
+
+    known = written(windows.groupBy(F.array_join("words", " ").alias("gram")).agg(F.collect_set(F.col("item").cast("string")).alias("item_set")), "known")
     if total <= MAX_BROADCAST:
         known = F.broadcast(known)
-    tries = scanned.select("row", F.explode("found").alias("f")).select("row", "f.start", "f.words", F.explode(F.array(*map(F.lit, widths))).alias("n")).where("size(words) >= n")
-    hits = tries.select("row", "start", "n", F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("gram")).join(known, "gram")
+    hits = scanned.select("row", F.explode("found").alias("f")).select("row", "f.start", "f.n", "f.gram").join(known, "gram")
     per_row = hits.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_set")))).alias("items"),

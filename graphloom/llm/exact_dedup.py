@@ -1,8 +1,10 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass 1 gives every document two slots of a bounded filter and keeps, as a bitmap, the slots taken more than once. Pass 2 probes that bitmap:
+Pass 1 gives every document two slots of a filter and keeps, as a bitmap, the slots taken more than once. Pass 2 probes that bitmap:
 a document with a slot of its own can have no equal and passes straight through; only the others are shuffled, by the SHA-256 of
-their normalised text. The filter has a fixed size; as it fills up more documents become candidates, and the result stays the same.
+their normalised text. The filter grows with the documents up to 128 MB; beyond 67 million documents more of them become candidates, and the
+result stays the same. Slots meet as counts that tasks add up before they shuffle, two small numbers a document at most: a bitmap
+per task, of which most would be empty, would be larger. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, bitmap_filter, maybe_in, slot_columns, without, written
+from .common import FILTER_BITS, bitmap_filter, filter_bits, maybe_in, slot_columns, without, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -20,13 +22,14 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normal, 256)).alias("sha"), F.monotonically_increasing_id().alias("row"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, and empty texts are equal like any others. Of equal texts the smallest id stays (null ids come last);
-    of rows with the same id and equal texts exactly one stays. An empty table gives no rows. Other columns are ignored.
+    of rows with the same id and equal texts exactly one stays. An empty table gives no rows. Other columns are ignored. ``bits`` sets the size of the filter.
     """
     digest = written(digests(docs, id_col, text_col), "digests")
+    bits = bits or filter_bits(digest.count())
     slots = digest.select(F.explode(F.array(*slot_columns(F.col("sha"), bits=bits))).alias("slot"))
     shared = written(bitmap_filter(slots.groupBy("slot").count().where("count > 1"), "slot"), "shared-slots")
     probed = maybe_in(digest, [F.col("sha")], shared, "maybe", bits)

@@ -24,6 +24,9 @@ THRESHOLD = 0.7
 #: Bins of raw scores for calibration: between -0.5 and 1.5.
 BINS = 2000
 
+#: Characters of a text above which its statistics are added up in blocks of that size.
+LONG = 1 << 18
+
 
 def byte_kinds():
     """A row of membership per kind of byte: lower, upper, digit, space, newline, sentence marks, brackets and quotes, signs, beyond ASCII, control."""
@@ -46,6 +49,8 @@ def statistics(text: str, kinds) -> list[float]:
 
     import numpy as np
 
+    if len(text) > LONG:
+        return long_statistics(text, kinds)
     data = text.encode("utf-8", "replace")
     words = text.split()
     if not words:
@@ -56,24 +61,76 @@ def statistics(text: str, kinds) -> list[float]:
     top = counts.most_common(1)[0][1]
     pairs = Counter(zip(words, words[1:]))
     same = sum(c for (a, b), c in pairs.items() if a == b)
-    forms = list(counts.items())
+    lines = [x for x in text.split("\n") if x.strip()]
+    return [*shares.tolist(), *word_shape(n, counts, float(lengths.mean()), float(lengths.std()), int(lengths.max()), top, same, len(pairs), len(lines), len(set(lines)))]
+
+
+def word_shape(n: int, counts: dict, mean: float, spread: float, longest: int, top: int, same: int, pairs: int, lines: int, distinct_lines: int) -> list[float]:
+    """The statistics of ``n`` words, ``counts`` of each form; ``pairs`` are distinct neighbours, ``same`` neighbours that are equal."""
+    import math
+
+    forms = counts.items()
     ends = sum(c for w, c in forms if not w[-1].isalnum())
     odd_ends = sum(c for w, c in forms if not w[-1].isalnum() and w[-1] not in ".,;:!?)\"'")
     upper = sum(c for w, c in forms if len(w) > 1 and w.isupper())
     title = sum(c for w, c in forms if w[0].isupper())
     bare = sum(c for w, c in forms if not any(map(str.isalnum, w)))
     doubled = sum(c for w, c in forms if len(w) > 2 and w[-1] == w[-2] == "!" or len(w) > 3 and w[-3:] == w[-1] * 3 and not w[-1].isalnum())
-    lines = [x for x in text.split("\n") if x.strip()]
-    m = max(1, len(pairs))
     return [
-        *shares.tolist(),
-        math.log1p(n), float(lengths.mean()), float(lengths.std()), math.log1p(int(lengths.max())),
-        len(counts) / n, len(counts) / math.sqrt(n), top / n, same / n, m / max(1, n - 1),
+        math.log1p(n), mean, spread, math.log1p(longest),
+        len(counts) / n, len(counts) / math.sqrt(n), top / n, same / n, max(1, pairs) / max(1, n - 1),
         ends / n, odd_ends / n, upper / n, title / n, bare / n, doubled / n,
-        math.log1p(n / max(1, len(lines))), len(set(lines)) / max(1, len(lines)),
+        math.log1p(n / max(1, lines)), distinct_lines / max(1, lines),
     ]
 
 
+def blocks(text: str, pattern: str, size: int) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, each of which ends before a match of ``pattern``."""
+    import re
+
+    at, find = 0, re.compile(pattern).search
+    while len(text) - at > size and (cut := find(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def long_statistics(text: str, kinds) -> list[float]:
+    """What :func:`statistics` gives, from blocks: the memory is the distinct words, and 8 bytes per distinct pair of them and per distinct line."""
+    import numpy as np
+
+    counts, number, sizes = {}, {}, {}
+    raw, total = np.zeros(256, np.int64), 0
+    pairs, last, same = np.empty(0, np.uint64), None, 0
+    for block in blocks(text, r"\s", LONG):
+        data = block.encode("utf-8", "replace")
+        raw += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        total += len(data)
+        words = block.split()
+        if not words:
+            continue
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+            sizes[len(w)] = sizes.get(len(w), 0) + 1
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
+        ids = ids if last is None else np.concatenate([[last], ids])
+        last = ids[-1]
+        same += int((ids[1:] == ids[:-1]).sum())
+        pairs = np.union1d(pairs, ids[:-1] << np.uint64(32) | ids[1:])
+    if not counts:
+        return [0.0] * N_STATS
+    n, length = sum(sizes.values()), np.array(list(sizes), np.float64)
+    often = np.array(list(sizes.values()), np.float64)
+    mean = float((length * often).sum() / n)
+    spread = float(np.sqrt((often * (length - mean) ** 2).sum() / n))
+    lines, seen = 0, np.empty(0, np.int64)
+    for block in blocks(text, "\n", LONG):
+        own = [hash(x) for x in block.removeprefix("\n").split("\n") if x.strip()]
+        lines += len(own)
+        seen = np.union1d(seen, np.array(own, np.int64))
+    return [*((kinds @ raw) / total).tolist(), *word_shape(n, counts, mean, spread, max(sizes), max(counts.values()), same, len(pairs), lines, len(seen))]
+
+
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, stats) with all columns of ``docs`` but the text left behind; null texts count as empty."""
 
@@ -155,15 +212,23 @@ def isotonic(weights, sums):
     return [(at / w, s / w) for w, s, at in blocks]
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", label_id: str = "doc_id", max_train: int = MAX_TRAIN) -> Model:
-    """A model from written ``stats`` (id, stats) and labels outside the held-out fold. Labels of a repeated id are averaged; null ones are left out."""
-    import numpy as np
+def chosen(labels: DataFrame, label_col: str = "quality", label_id: str = "doc_id", max_train: int = MAX_TRAIN) -> DataFrame:
+    """Rows (label_id, label) outside the held-out fold that a model learns from, a written table of at most ``max_train`` rows in expectation.
 
-    known = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(label_id))).groupBy(F.col(label_id).alias("label_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
-    joined = stats.join(known, F.col("id") == F.col("label_id"))
+    Labels of a repeated id are averaged; null ones are left out.
+    """
+    usable = F.col(label_id).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(label_id))
+    known = written(labels.where(usable).groupBy(F.col(label_id).alias("label_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label")), "labels")
     share = min(1.0, max_train / max(1, known.count()))
-    slot = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20))
-    train = written(joined.where(slot < int(share * (1 << 20))).select("stats", "label", (F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5)) == 0).alias("aside")), "train")
+    return written(known.where(F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))), "chosen")
+
+
+def fit(stats: DataFrame, known: DataFrame) -> Model:
+    """A model from ``stats`` (id, stats) and the labels of :func:`chosen`, which are bounded and broadcast."""
+    import numpy as np
+
+    joined = stats.join(F.broadcast(known), F.col("id") == F.col("label_id"))
+    train = written(joined.select("stats", "label", (F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5)) == 0).alias("aside")), "train")
     low, high, n = train.agg(F.min("label"), F.max("label"), F.count(F.lit(1))).first()
     if not n:
         return Model(1.0)  # nothing says what is bad
@@ -227,13 +292,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     kind it is that label. Repeated rows are scored each. An empty table gives no rows.
     """
     stats = written(features(docs, id_col, text_col), "stats")
-    return scored(stats, fit(stats, labels, **options), threshold).withColumnRenamed("id", id_col)
+    return scored(stats, fit(stats, chosen(labels, **options)), threshold).withColumnRenamed("id", id_col)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` that score at least ``threshold``; all columns stay, and no text is shuffled."""
-    stats = written(features(docs, id_col, text_col), "stats")
-    model = fit(stats, labels, **options)
+    """``docs`` that score at least ``threshold``; all columns stay, and no text is shuffled. Statistics are made once for the labelled documents, to learn, and once for all."""
+    known = chosen(labels, **options)
+    labelled = docs.join(F.broadcast(known.select("label_id")), F.col(id_col) == F.col("label_id"), "left_semi")
+    model = fit(features(labelled, id_col, text_col), known)
     schema, place = docs.schema, docs.columns.index(text_col)
 
     def work(batches: Iterator) -> Iterator:

@@ -13,14 +13,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_of, maybe_in, written
+from .common import filter_bits, filter_of, maybe_in, written, written_any
 
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
 INTRO = r"(?i)^.{0,200}\b(wrote|writes|said):[ \t\r]*$"
 
-#: A bound on rounds of pointer doubling that no run should reach.
-MAX_ROUNDS = 64
-
 
 def normalised(text: Column) -> Column:
     lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -48,7 +45,8 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
         "row", "conv", "turn", "role", F.regexp_replace(kept, r"^\n+|\n+$", "").alias("body"),
         F.size(F.filter("level", lambda x: x > 0)).cast("long").alias("n_quoted"), F.array_max("level").cast("long").alias("max_level"),
         F.array_distinct(F.transform(F.filter("passages", lambda p: p["level"] == 0), hashed)).alias("own"),
-        F.array_distinct(F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), hashed(p).alias("hash")))).alias("quoted"),
+        # repeats meet in reply_links: array_distinct compares structs pair by pair
+        F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), hashed(p).alias("hash"))).alias("quoted"),
     )
 
 
@@ -56,23 +54,23 @@ def reply_links(messages: DataFrame) -> DataFrame:
     """Rows (conv, turn, parent) of the messages that quote an earlier one, from :func:`parsed` rows."""
     quotes = written(messages.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.level", "q.hash").distinct(), "quotes")
     keys = [F.col("conv"), F.col("hash")]
-    bitmap = written(filter_of(quotes.select("conv", "hash").distinct(), keys), "quoted-filter")
+    bits = filter_bits(quotes.count())
+    bitmap = written(filter_of(quotes, keys, bits), "quoted-filter")
     own = messages.where("turn IS NOT NULL").select("conv", "turn", F.explode("own").alias("hash"))
-    first = maybe_in(own, keys, bitmap, "maybe").where("maybe").groupBy("conv", "hash").agg(F.min("turn").alias("first"))
+    first = maybe_in(own, keys, bitmap, "maybe", bits).where("maybe").groupBy("conv", "hash").agg(F.min("turn").alias("first"))
     found = quotes.join(written(first, "originals"), ["conv", "hash"]).where("first < turn")
     return found.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "first"))["first"].alias("parent"))
 
 
 def threads(links: DataFrame) -> DataFrame:
     """Rows (conv, turn, parent, top, depth): the first message of each linked message's thread, and the links up to it."""
-    state = written(links.select("conv", "turn", "parent", F.col("parent").alias("top"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved")), "threads")
-    for _ in range(MAX_ROUNDS):
-        if state.where("moved").isEmpty():
-            return state.drop("moved")
+    state, moved = written_any(links.select("conv", "turn", "parent", F.col("parent").alias("top"), F.lit(1).cast("long").alias("depth")), "threads")
+    while moved:
         up = state.select("conv", F.col("turn").alias("top"), F.col("top").alias("above"), F.col("depth").alias("more"))
         state = state.join(up, ["conv", "top"], "left").select("conv", "turn", "parent", F.coalesce("above", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved"))
-        state = written(state, "threads")
-    raise RuntimeError("threads did not settle")
+        state, moved = written_any(state, "threads", F.col("moved"))
+        state = state.drop("moved")
+    return state
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], out: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_of, maybe_in, worker_cache, written
+from .common import filter_bits, filter_of, maybe_in, worker_cache, written
 
 #: Bytes of a window and of its anchor; text bytes that one bucket of a pass stands for.
 WINDOW, ANCHOR, BUCKET_BYTES = 50, 24, 8 << 20
@@ -512,8 +512,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def those(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """The texts whose id may be among the keys, by a filter of bounded size; so no others shuffle for the exact join."""
-    bitmap = written(filter_of(keys.select("id"), [F.col("id")]), "id-filter")
-    return maybe_in(texts, [F.col("id")], bitmap, "__maybe").where("__maybe").select("id", "data")
+    keys = written(keys.select("id"), "ids")
+    bits = filter_bits(keys.count())
+    bitmap = written(filter_of(keys, [F.col("id")], bits), "id-filter")
+    return maybe_in(texts, [F.col("id")], bitmap, "__maybe", bits).where("__maybe").select("id", "data")
 
 
 def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

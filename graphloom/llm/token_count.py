@@ -20,6 +20,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Remembered pieces per worker, and characters of a text that are cut into pieces at a time.
 MEMO, CHUNK = 300_000, 1 << 20
 
+#: Bytes of a piece from which its lists are compact arrays.
+LONG = 1 << 14
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -32,9 +35,15 @@ class PairMerger:
     """Merge ranks of a byte-level vocabulary, and counts by them."""
 
     def __init__(self, spec: str):
-        """``spec``: the text of a tokenizer's .json file."""
+        """``spec``: the text of a tokenizer's .json file. Any but plain byte-level pieces, without a normalizer, is refused."""
         model = json.loads(spec)
-        self.specials = [t["content"] for t in model["added_tokens"]]
+        before = model.get("pre_tokenizer") or {}
+        if model.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model["model"].get("ignore_merges"):
+            raise ValueError("only byte-level tokenizers that cut texts by their usual pattern can be counted")
+        if any(t.get(k) for t in model["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("special tokens that take in what is around them can't be counted")
+        # of special strings that begin at one place the longest is meant
+        self.specials = sorted((t["content"] for t in model["added_tokens"]), key=len, reverse=True)
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         self.first = [vocab[c] for c in byte_symbols()]
         self.pairs: dict[int, tuple[int, int]] = {}
@@ -46,10 +55,12 @@ class PairMerger:
         """Tokens of one piece: its bytes less the merges."""
         from heapq import heapify, heappop, heappush
 
-        symbols, pairs = [self.first[b] for b in piece], self.pairs
-        n = len(symbols)
+        n, pairs = len(piece), self.pairs
         if n < 2:
             return n
+        if n >= LONG:
+            return self.merged_long(piece)
+        symbols = [self.first[b] for b in piece]
         heap = [(rank[0], i) for i in range(n - 1) if (rank := pairs.get(symbols[i] << 20 | symbols[i + 1]))]
         heapify(heap)
         after, before, merges = [*range(1, n), -1], [*range(-1, n - 1)], 0
@@ -72,12 +83,62 @@ class PairMerger:
                 heappush(heap, (found[0], h))
         return n - merges
 
+    def merged_long(self, piece: bytes) -> int:
+        """The same for a long piece, in compact arrays: 12 bytes per byte of it for symbols and links, 8 for the sorted pairs it starts with (24 while these are
+        sorted), and some 40 per new pair that waits in the heap, of which there is at most one for two bytes."""
+        from array import array
+        from heapq import heappop, heappush
+
+        import numpy as np
+
+        n, pairs = len(piece), self.pairs
+        raw = np.frombuffer(piece, np.uint8)
+        ranks = np.full(1 << 16, -1, np.int64)
+        for a in range(256):
+            for b in range(256):
+                if found := pairs.get(self.first[a] << 20 | self.first[b]):
+                    ranks[a << 8 | b] = found[0]
+        start = ranks[raw[:-1].astype(np.uint16) << 8 | raw[1:]]
+        start = start[start >= 0] << 32 | np.flatnonzero(start >= 0)
+        start.sort()
+        symbols = array("i", np.array(self.first, np.int32)[raw].tobytes())
+        after, before = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes()), array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        after[n - 1] = -1
+        heap: list[int] = []
+        at, block, merges = 0, [], 0  # ``block`` has the next starting pairs, the least last
+        while True:
+            if not block and at < len(start):
+                block = start[at : at + 65536].tolist()[::-1]
+                at += 65536
+            if block and (not heap or block[-1] < heap[0]):
+                entry = block.pop()
+            elif heap:
+                entry = heappop(heap)
+            else:
+                return n - merges
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            j = after[i]
+            if j < 0 or symbols[i] < 0:
+                continue
+            now = pairs.get(symbols[i] << 20 | symbols[j])
+            if now is None or now[0] != rank:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j] = now[1], -1
+            merges += 1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if found := pairs.get(now[1] << 20 | symbols[k]):
+                    heappush(heap, found[0] << 32 | i)
+            if (h := before[i]) >= 0 and (found := pairs.get(symbols[h] << 20 | now[1])):
+                heappush(heap, found[0] << 32 | h)
+
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
-    """The text in parts of about ``size`` characters, cut only before a single space between other characters: there a piece always begins."""
+    """The text in parts of about ``size`` characters, cut only before a single space or line feed between other characters: there a piece always begins."""
     import re
 
-    at, inside = 0, re.compile(r"(?<=\S) (?=\S)")
+    at, inside = 0, re.compile(r"(?<=\S)[ \n](?=\S)")
     while len(text) - at > size and (cut := inside.search(text, at + size)):
         yield text[at : cut.start()]
         at = cut.start()
@@ -113,7 +174,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     """One row per document: id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     ``tokenizer`` is the path of a byte-level .json vocabulary, read on the driver and broadcast. Null texts count as empty: no bytes, no
-    tokens. A special string inside a text is one token. Repeated rows are counted each; an empty table gives no rows.
+    tokens. A special string inside a text is one token. Repeated rows are counted each; an empty table gives no rows. A run of letters (or of digits, or of
+    signs) without a break is one piece, which takes some 45 bytes of memory per byte; longer texts are otherwise read in parts.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -58,3 +58,11 @@ def test_query_matches_sql(spark, docs_of, tmp_path):
     result = con.execute(oracle_sql()["op8_decontamination"])
     names = [c[0] for c in result.description]
     assert {tuple(r[n] for n in names) for r in op8_decontamination(spark, str(tmp_path)).collect()} == set(result.fetchall())
+
+
+@pytest.mark.parametrize("limit", ["MAX_SLOTS", "MAX_BROADCAST"])  # full tables, or a set that isn't broadcast, change no result
+def test_limits_change_no_result(spark, docs_of, monkeypatch, limit):
+    monkeypatch.setattr(op, limit, 1)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in op.digest(op.contamination(docs_of(TEXTS), bench)).collect()}
+    assert got == {i: naive(t, ITEMS) for i, t in enumerate(TEXTS)}

@@ -74,3 +74,13 @@ def test_filter_keeps_what_scores_well(spark):
     assert left.columns == docs.columns
     good = {r.doc_id for r in op4_quality(spark, d).collect() if r.predicted}
     assert {r.doc_id for r in left.collect()} == good
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    rng, kinds = random.Random(4), op.byte_kinds()
+    texts = ["", " \n\n ", "x", "Word! word w\x1cx\n\n!!!! é\n" * 30, "".join(rng.choice("aB!. \n\tü\x85") for _ in range(5000)), "a a\nb b\n" * 400, "\n" + "z" * 900 + "\n"]
+    want = [op.statistics(t, kinds) for t in texts]
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(op, "LONG", size)
+        for t, w in zip(texts, want):
+            np.testing.assert_allclose(op.long_statistics(t, kinds), w, rtol=1e-9, atol=1e-12)

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import quotes as op
 from graphloom.llm.queries import op6_quote_linking, oracle_sql
@@ -67,3 +68,11 @@ def test_query_matches_sql(spark, tmp_path, rows):
     key = lambda r: str(r)
     got = sorted((tuple(r[n] for n in names) for r in op6_quote_linking(spark, str(tmp_path)).collect()), key=key)
     assert got == sorted(result.fetchall(), key=key)
+
+
+def test_long_messages_and_clashing_columns(spark):
+    lines = [f"line {k} of a long message" for k in range(100_000)]
+    rows = [(1, 0, "user", "\n".join(lines[:10])), (1, 1, "user", "\n".join("> " + x for x in lines))]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({"row": F.lit(1), "body": F.lit("x"), "conv": F.lit(2), "level": F.lit(None), "position": F.lit(0)})
+    got = {r.turn: r for r in op.link_quotes(frame).collect()}
+    assert (got[1].n_quoted, got[1].parent_turn, got[1].body) == (100_000, 0, "") and got[0].position == 0

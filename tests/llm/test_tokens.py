@@ -100,3 +100,37 @@ def test_queries_on_test_data(spark):
     check_packing(op3_packing(spark, d).collect(), texts)
     t = Tokenizer.from_file(BYTES)
     assert {r.doc_id: r.n_tokens for r in op9_token_counts(spark, d).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts.items()}
+
+
+def test_long_pieces_like_short_ones(docs_of):
+    rng = random.Random(8)
+    merger = token_count.PairMerger(open(BYTES, encoding="utf-8").read())
+    t = Tokenizer.from_file(BYTES)
+    for piece in ("a" * 5000, "".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "the" * 3000, "ab", "漢字" * 1000):
+        want = len(t.encode(piece, add_special_tokens=False).ids)
+        assert merger.merged_long(piece.encode()) == merger.merged(piece.encode()) == want
+    assert token_count.count_tokens(docs_of([]), BYTES).count() == 0
+    same = docs_of([(1, "two words"), (1, "two words"), (None, None)], ", n_tokens string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_count.count_tokens(same, BYTES).collect()) == [(0, 0), (1, 2), (1, 2)]
+
+
+def test_other_specifications_are_refused():
+    import json
+
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    nested = {**spec, "added_tokens": [{"id": 1, "content": "<|end"}, {"id": 2, "content": "<|end|>"}]}
+    assert token_count.Counter(token_count.PairMerger(json.dumps(nested)))("<|end|>") == 1
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError, match="can't be counted|can be counted"):
+            token_count.PairMerger(json.dumps({**spec, **change}))
+
+
+def test_packing_odd_rows(docs_of):
+    rows = [(None, "no id"), (7, "twice the same"), (7, "twice the same"), (8, None)]
+    out = packing.pack(docs_of(rows, ", start string"), WORDS, capacity=8).collect()
+    total = {}
+    for r in out:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    t = Tokenizer.from_file(WORDS)
+    n = lambda x: len(t.encode(x, add_special_tokens=False).ids) + 1
+    assert total == {None: n("no id"), 7: 2 * n("twice the same"), 8: 1}
