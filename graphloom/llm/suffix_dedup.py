@@ -1,17 +1,17 @@
 """Dedup of repeated byte windows by a radix sort of suffixes that goes only as deep as the window.
 
-A byte goes if a window of 50 bytes over it also starts in a document with a smaller id. Ordering all suffixes through 50 bytes would shuffle the text
-many times over, so the passes of the sort, most significant digit first, take digits that say most:
-
-1. The first digit of a window is its anchor, the 24-byte string of least hash in it; equal windows have equal anchors at equal places. One
-   suffix in 14 is an anchor, and only these are dealt out, by the top bits of the anchor's hash. An anchor found in one document ends here.
-2. The second digit is the anchor's context, all 76 bytes that windows over the anchor can reach. Equal groups are repeats in full: every
-   document but the smallest loses its windows over the anchor.
-3. Where documents share an anchor and differ in context, the smallest document of each context sends the windows over the anchor themselves, and
-   equal groups of those are the rest of the repeated windows.
-
-Each pass first keeps the smallest document of a group within a task, so that a passage of a third of all documents costs a record per task, and
-what passes between tasks are packed hashes (104 to 128 bits in all for any group), not text. Texts move only for documents that lose bytes.
+A byte goes if a window of 50 bytes over it also starts in a document with a smaller id. Suffixes are ordered by their bytes, eight at a time and most significant first, and
+only rows that still tie go on to the next eight (:func:`msd`). Ordering every suffix by itself would move 50 bytes per byte of text; so suffixes move in runs:
+
+1. The anchor of a window is the 12-byte string of least hash in it, so equal windows have equal anchors at equal places. Consecutive windows of one anchor are a run, on average 20
+   of them, and its bytes are moved once: those from the anchor on, and those before it in reverse. Runs are dealt out by their leading digit, the anchor.
+2. In a bucket the runs are sorted from the anchor on, and, where the leading digits tie across documents, once more before it. The lengths of common prefixes of
+   neighbours in the two orders tell, for each place of the anchor in a window, which windows are equal byte by byte: all but those of the smallest document are lost.
+3. An anchor that stands in very many different runs is split by its next digits: windows with the anchor in their first half share more bytes behind it, the
+   others more bytes before it. Half runs are dealt out again by those longer strings, down to whole windows, so no group is gathered that grows with the data.
+
+Equal runs within a task leave only the smallest document's, so a passage of a third of all documents costs a few records per task. What comes
+back to a document are places, not text; texts move only for documents that lose bytes.
 """
 
 from __future__ import annotations
@@ -21,25 +21,22 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_bits, filter_of, maybe_in, worker_cache, written
+from .common import filter_bits, filter_of, maybe_in, worker_cache, written, written_any
 
-#: Bytes of a window and of its anchor; text bytes that one bucket of a pass stands for.
-WINDOW, ANCHOR, BUCKET_BYTES = 50, 24, 8 << 20
+#: Bytes of a window and of its anchor; text bytes that one bucket, and one task of a shuffle, stand for.
+WINDOW, ANCHOR, BUCKET_BYTES, TASK_BYTES = 50, 12, 8 << 20, 32 << 20
 
-#: Bytes of texts that a worker looks at together; records that it holds before it passes them on.
-SEGMENT, HELD = 1 << 20, 3_000_000
+#: Places of an anchor before the end of a window, counted from 0.
+PLACES = WINDOW - ANCHOR
 
-#: Contexts of one anchor among the records held, above which the anchor is dealt out by its windows.
-SPLIT = 256
+#: Bytes of texts that a worker looks at together; runs that it holds before it passes them on.
+SEGMENT, HELD = 1 << 20, 500_000
 
+#: Different runs of one anchor among the runs held, above which the anchor is split by its next digits.
+SPLIT = 64
 
-def constants():
-    import numpy as np
-
-    rng = np.random.Generator(np.random.PCG64(20240607))
-    byte_values = rng.integers(1, 1 << 63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
-    odd = rng.integers(1, 1 << 63, 32, np.uint64) * np.uint64(2) + np.uint64(1)
-    return byte_values, odd
+#: A byte that no UTF-8 text has; it fills up runs. More bytes than a text has.
+FILL, FAR = 255, 1 << 42
 
 
 def mix(x):
@@ -54,474 +51,533 @@ def mix(x):
     return x
 
 
-class Segment:
-    """Several pieces of texts laid out in one array, with gaps of a 257th byte value, and hashes of their substrings.
+def words(rows):
+    """The bytes of each row as big-endian words, a column each, so that their order is the order of the bytes."""
+    import numpy as np
 
-    A piece is a whole text, or a part of a long one with margins: ``pieces`` has (number of the text, offset in it, start and end of the core in it).
-    Anchors and windows are reported if they start in a core.
-    """
+    n, k = rows.shape
+    out = np.full((n, -(-k // 8) * 8), FILL, np.uint8)
+    out[:, :k] = rows
+    return list(np.ascontiguousarray(out.view(">u8").astype(np.uint64).T))
 
-    GAP = 2 * WINDOW
 
-    def __init__(self, pieces: list[tuple[int, int, int, int]], texts: list[bytes], consts):
-        import numpy as np
+def msd(digits: list):
+    """Sort rows by digits of eight bytes, most significant first; a pass looks only at rows that all passes before left tied.
 
-        values, self.odd = consts
-        self.pieces = pieces
-        self.numbers = np.array([k for k, *_ in pieces], np.int64)
-        self.lengths = np.array([len(t) for t in texts], np.int64)
-        step = self.lengths + self.GAP
-        self.starts = np.cumsum(step) - step + self.GAP
-        self.core_from = self.starts + np.array([low - at for _, at, low, _ in pieces])
-        self.core_to = self.starts + np.array([high - at for _, at, _, high in pieces])
-        filler = bytes(self.GAP)
-        raw = np.frombuffer(filler + b"".join(t + filler for t in texts), np.uint8)
-        edges = np.zeros(len(raw) + 1, np.int32)
-        edges[self.starts] = 1
-        edges[self.starts + self.lengths] = -1
-        v = values[raw]
-        v[np.cumsum(edges[:-1]) == 0] = values[256]
-        self.n = len(raw)
-        self.powers = {1: v}
-        power = self.odd[:1]
-        for k in (1, 2, 4, 8):
-            h = self.powers[k]
-            self.powers[2 * k] = h[:-k] * power + h[k:]
-            power = power * power
-
-    def at(self, where, parts: list[tuple[int, int, int]]):
-        """Hashes from the given places of substrings made of parts (offset, length 1 to 16, number of an odd factor)."""
-        total = 0
-        for offset, length, factor in parts:
-            total = total + self.powers[length][where + offset] * self.odd[factor]
-        return mix(total)
-
-    def window_starts(self):
-        """Whether a window that lies within one piece starts at each place."""
-        import numpy as np
+    Returns the order, and for each row but the first the leading bytes that it shares with the row before it.
+    """
+    import numpy as np
 
-        ok = np.zeros(self.n, np.int32)
-        long = self.lengths >= WINDOW
-        ok[self.starts[long]] = 1
-        ok[self.starts[long] + self.lengths[long] - WINDOW + 1] = -1
-        return np.cumsum(ok) > 0
+    steps = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
+    order = np.argsort(digits[0])
+    first = digits[0][order]
+    x = first[1:] ^ first[:-1]
+    shared = 7 - np.searchsorted(steps, x, side="right")
+    tied = np.flatnonzero(x == 0)  # rows that tie with the next one
+    for k, digit in enumerate(digits[1:], 1):
+        if not len(tied):
+            break
+        rows = np.zeros(len(order), bool)
+        rows[tied] = rows[tied + 1] = True
+        at = np.flatnonzero(rows)
+        where = np.cumsum(rows) - 1
+        group = np.ones(len(at), np.int64)
+        group[where[tied + 1]] = 0
+        group = np.cumsum(group)
+        own = digit[order[at]]
+        by = np.lexsort((own, group))
+        order[at], own = order[at][by], own[by]
+        x = own[where[tied] + 1] ^ own[where[tied]]
+        shared[tied] = 8 * k + 7 - np.searchsorted(steps, x, side="right")
+        tied = tied[x == 0]
+    shared[tied] = 8 * len(digits)
+    return order, shared
+
+
+def sliding_min(x, span: int):
+    """The least of each ``span`` consecutive values."""
+    import numpy as np
 
-    def in_core(self, where, own):
-        return (where >= self.core_from[own]) & (where < self.core_to[own])
+    k = 1
+    while 2 * k <= span:
+        x = np.minimum(x[:-k], x[k:])
+        k *= 2
+    return np.minimum(x[: len(x) - (span - k)], x[span - k :]) if span > k else x
 
-    def anchors(self):
-        """Places of anchors, their pieces, their hashes, and hashes of their contexts (low 40 bits)."""
-        import numpy as np
 
-        h = self.powers
-        score = h[16][: -(ANCHOR - 16)] * self.odd[1] + h[8][16 : 16 + len(h[16]) - (ANCHOR - 16)] * self.odd[2]
-        score = mix(score) | np.uint64(1)
-        span = WINDOW - ANCHOR + 1
-        least = sliding(score, span, np.minimum)
-        starts = self.window_starts()[: len(least)]
-        least[~starts] = 0
-        padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-        most = sliding(padded, span, np.maximum)[: len(score)]
-        where = np.flatnonzero(most == score)
-        own = self.piece_of(where)
-        core = self.in_core(where, own)
-        where, own = where[core], own[core]
-        left = WINDOW - ANCHOR
-        context = self.at(where, [(-left, 16, 3), (-left + 16, 8, 4), (-2, 2, 5), (ANCHOR, 16, 6), (ANCHOR + 16, 8, 7), (ANCHOR + 24, 2, 8)])
-        return where, own, score[where], context & np.uint64((1 << 40) - 1)
-
-    def window_hashes(self, where):
-        """Two hashes (64 and 40 bits) of the windows at the given places."""
-        import numpy as np
+def runs_in(pieces: list[tuple[int, int, int]], texts: list[bytes]):
+    """Runs of the windows that start in the core of a piece: (bytes from the anchor on, bytes before it in reverse, number of the piece, place of the anchor in its text).
 
-        first = self.at(where, [(0, 16, 9), (16, 16, 10), (32, 16, 11), (48, 2, 12)])
-        second = self.at(where, [(0, 16, 13), (16, 16, 14), (32, 16, 15), (48, 2, 16)])
-        return first, second & np.uint64((1 << 40) - 1)
+    ``pieces`` has (number, offset of the piece in its text, length of the core); ``texts`` are the pieces, which reach a window beyond their cores.
+    """
+    import numpy as np
 
-    def piece_of(self, where):
-        """The piece that each place lies in."""
-        import numpy as np
+    pad = bytes([FILL]) * 64
+    raw = np.frombuffer(pad + b"\xff".join(texts) + pad, np.uint8)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(lengths + 1) - lengths - 1 + 64
+    two = raw.astype(np.uint64)
+    two = two[:-1] << np.uint64(8) | two[1:]
+    four = two[:-2] << np.uint64(16) | two[2:]
+    eight = four[:-4] << np.uint64(32) | four[4:]
+    n = len(eight) - 8
+    score = mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + four[8 : 8 + n])
+    # of equal scores in a window the first place counts, wherever the window lies
+    best = sliding_min(score & ~np.uint64((1 << 24) - 1) | np.arange(n, dtype=np.uint64), PLACES + 1)
+    edges = np.zeros(len(raw) + 1, np.int32)
+    cores = np.minimum(np.array([c for *_, c in pieces]), lengths - WINDOW + 1)
+    some = cores > 0
+    edges[starts[some]] += 1
+    np.add.at(edges, starts[some] + cores[some], -1)
+    at = np.flatnonzero(np.cumsum(edges)[: len(best)])
+    anchor = (best[at] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    head = np.ones(len(at), bool)
+    head[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+    tail = np.ones(len(at), bool)
+    tail[:-1] = head[1:]
+    low, high, place = at[head], at[tail], anchor[head]
+    right = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[place]
+    left = np.lib.stride_tricks.sliding_window_view(raw, PLACES)[place - PLACES][:, ::-1]
+    right[np.arange(WINDOW) >= (high + WINDOW - place)[:, None]] = FILL
+    left = np.where(np.arange(PLACES) >= (place - low)[:, None], np.uint8(FILL), left)
+    own = np.searchsorted(starts, place, side="right") - 1
+    offsets = np.array([o for _, o, _ in pieces], np.int64)
+    return right, left, own, place - starts[own] + offsets[own]
+
+
+def segments(texts, size: int) -> Iterator[tuple[list, list]]:
+    """Pieces and their texts, of about ``size`` bytes together; long texts come in parts."""
+    pieces, held, total = [], [], 0
+    for k, t in enumerate(texts):
+        if t is None or len(t) < WINDOW:
+            continue
+        for low in range(0, len(t) - WINDOW + 1, size):
+            part = t[low : low + size + WINDOW - 1]
+            pieces.append((k, low, size))
+            held.append(part)
+            total += len(part)
+            if total >= size:
+                yield pieces, held
+                pieces, held, total = [], [], 0
+    if held:
+        yield pieces, held
 
-        return np.searchsorted(self.starts, where, side="right") - 1
 
+#: Columns of runs: both byte matrices, the document, a number that tells rows of one id apart, and the first and last of the anchor's places at most a window apart.
+RIGHT, LEFT, DOC, SUB, FIRST, LAST = range(6)
 
-def sliding(x, span: int, best):
-    """The best of each ``span`` consecutive values."""
-    k = 1
-    while 2 * k <= span:
-        x = best(x[:-k], x[k:])
-        k *= 2
-    return best(x[: len(x) - (span - k)], x[span - k :]) if span > k else x
 
+def picked(runs: tuple, which) -> tuple:
+    return tuple(c[which] for c in runs)
 
-def folded(first, second):
-    """One 64-bit key for a pair of hashes, to tell substrings of one document apart."""
+
+def joined(parts: list[tuple]) -> tuple:
     import numpy as np
 
-    return mix(first ^ (second * np.uint64(0x9E3779B97F4A7C15)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def segments(ids, texts, consts) -> Iterator[Segment]:
-    """The texts of a batch with at least a window of bytes, in segments; ``texts`` by number, of which long ones come in parts."""
-    pieces, held, size, margin = [], [], 0, 2 * WINDOW
-    for k, (i, t) in enumerate(zip(ids, texts)):
-        if i is None or t is None or len(t) < WINDOW:
-            continue
-        for low in range(0, len(t), SEGMENT):
-            high = min(len(t), low + SEGMENT)
-            at = max(0, low - margin)
-            part = t[at : high + margin] if at or high < len(t) else t
-            pieces.append((k, at, low, high))
-            held.append(part)
-            size += len(part)
-            if size >= SEGMENT:
-                yield Segment(pieces, held, consts)
-                pieces, held, size = [], [], 0
-    if held:
-        yield Segment(pieces, held, consts)
+def extent(runs: tuple):
+    """Bytes of each run from the anchor on, and before it."""
+    return (runs[RIGHT] != FILL).sum(1, dtype="int64"), (runs[LEFT] != FILL).sum(1, dtype="int64")
 
 
-def smallest(first, second, doc):
-    """Order records (first, second, doc), and split groups of equal hashes: (order, whether it is a group's first row, whether its doc is above the group's first)."""
+def settled(runs: tuple, close: bool):
+    """(what is lost, what stays in order, shared bytes): of equal runs those of the smallest document stay.
+
+    What is lost has (document, sub, from, to). With ``close``, places of one document that are at most a window apart become one.
+    """
     import numpy as np
 
-    order = np.lexsort((doc, second, first))
-    f, s, d = first[order], second[order], doc[order]
-    head = np.ones(len(f), bool)
-    head[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
-    least = d[head][np.cumsum(head) - 1]
-    return order, head, d != least
+    order, shared = msd(words(runs[RIGHT]) + words(runs[LEFT]))
+    runs = picked(runs, order)
+    head = np.ones(len(order), bool)
+    head[1:] = shared < 8 * (-(-WINDOW // 8) + -(-PLACES // 8))
+    group = np.cumsum(head) - 1
+    least = np.minimum.reduceat(runs[DOC], np.flatnonzero(head))[group] if len(order) else runs[DOC]
+    lost = runs[DOC] > least
+    behind, before = extent(picked(runs, lost))
+    gone = runs[DOC][lost], runs[SUB][lost], runs[FIRST][lost] - before, runs[LAST][lost] + behind
+    runs, group = picked(runs, ~lost), group[~lost]
+    if close and len(group):
+        by = np.lexsort((runs[FIRST], runs[SUB], group))
+        runs, group = picked(runs, by), group[by]
+        new = np.ones(len(group), bool)
+        new[1:] = (group[1:] != group[:-1]) | (runs[SUB][1:] != runs[SUB][:-1])
+        base = np.cumsum(new) * FAR
+        reach = np.maximum.accumulate(base + runs[LAST])
+        new[1:] |= (base + runs[FIRST])[1:] - reach[:-1] > WINDOW
+        last = (reach - base)[np.r_[np.flatnonzero(new)[1:], len(new)] - 1]
+        runs, group = picked(runs, new), group[new]
+        runs = (*runs[:LAST], last)
+    return gone, runs, group
+
+
+class Node:
+    """A range of places of the anchor in a window, and the string that all such windows share; the first node has all places and shares the anchor."""
+
+    def __init__(self, low: int, high: int, depth: int, number: int):
+        self.low, self.high, self.depth, self.number = low, high, depth, number
+
+    def parts(self) -> list[Node]:
+        middle = (self.low + self.high) // 2
+        return [Node(self.low, middle, self.depth + 1, 2 * self.number + 1), Node(middle + 1, self.high, self.depth + 1, 2 * self.number + 2)]
+
+    @staticmethod
+    def of(number: int) -> Node:
+        path, node = [], Node(0, PLACES, 0, 0)
+        while number:
+            path.append(number)
+            number = (number - 1) // 2
+        for n in reversed(path):
+            node = node.parts()[(n - 1) % 2]
+        return node
+
+    def key(self, runs: tuple):
+        """A hash of the shared string of each run."""
+        import numpy as np
 
+        rng = np.random.Generator(np.random.PCG64(self.number))
+        out = np.zeros(len(runs[DOC]), np.uint64)
+        for side, k in ((RIGHT, WINDOW - self.high), (LEFT, self.low)):
+            for digit in words(runs[side][:, :k]) if k else ():
+                out = mix(out + digit * rng.integers(1, 1 << 63, 1, np.uint64) * np.uint64(2))
+        return out
 
-def packed(first, second, doc) -> bytes:
-    """Records of one bucket: seven low bytes of the first hash, five of the second, and documents by their differences."""
-    import numpy as np
-    import pyarrow as pa
-
-    def low(x, k):
-        return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :k].tobytes()
+    def cut(self, runs: tuple) -> tuple:
+        """The parts of runs that are windows of this node."""
+        import numpy as np
 
-    steps = np.diff(doc, prepend=np.int64(0)).astype("<i8").tobytes()
-    return len(doc).to_bytes(4, "little") + low(first, 7) + low(second, 5) + pa.compress(steps, codec="zstd", asbytes=True)
+        behind, before = extent(runs)
+        low, high = np.maximum(WINDOW - behind, self.low), np.minimum(before, self.high)
+        some = low <= high
+        runs, low, high = picked(runs, some), low[some], high[some]
+        right = np.where(np.arange(WINDOW) >= (WINDOW - low)[:, None], np.uint8(FILL), runs[RIGHT])
+        left = np.where(np.arange(PLACES) >= high[:, None], np.uint8(FILL), runs[LEFT])
+        return (right, left, *runs[DOC:])
 
 
-def unpacked(blob: bytes, top: int):
+def packed(runs: tuple) -> bytes:
     import numpy as np
     import pyarrow as pa
 
-    n = int.from_bytes(blob[:4], "little")
+    by = np.lexsort((runs[FIRST], runs[DOC]))
+    right, left, doc, sub, first, last = picked(runs, by)
+    steps = np.diff(doc, prepend=np.int64(0)), np.diff(first, prepend=np.int64(0)), last - first
+    # eight bytes of a number lie apart, as most of them are zeros
+    numbers = b"".join(np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes() for x in steps)
+    data = right.tobytes() + left.tobytes() + sub.astype("<i4").tobytes() + numbers
+    return len(doc).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
 
-    def low(at, k):
-        out = np.zeros((n, 8), np.uint8)
-        out[:, :k] = np.frombuffer(blob, np.uint8, n * k, at).reshape(n, k)
-        return out.view(np.uint64)[:, 0]
 
-    first = low(4, 7) | np.uint64(top << 56)
-    doc = np.cumsum(np.frombuffer(pa.decompress(blob[4 + 12 * n :], 8 * n, codec="zstd", asbytes=True), "<i8"))
-    return first, low(4 + 7 * n, 5), doc
+def unpacked(blob: bytes) -> tuple:
+    import numpy as np
+    import pyarrow as pa
 
+    n, width = int.from_bytes(blob[:4], "little"), WINDOW + PLACES
+    data = np.frombuffer(pa.Codec("zstd", 3).decompress(blob[4:], n * (width + 28), asbytes=True), np.uint8)
+    right, left = data[: n * WINDOW].reshape(n, WINDOW), data[n * WINDOW : n * width].reshape(n, PLACES)
+    sub = data[n * width : n * (width + 4)].view("<i4")
+    doc, first, last = (np.ascontiguousarray(data[n * (width + 4 + 8 * k) :][: 8 * n].reshape(8, n).T).view("<i8")[:, 0] for k in range(3))
+    first = np.cumsum(first)
+    return right, left, np.cumsum(doc), sub, first, first + last
 
-RECORDS = "bucket long, kind int, doc long, data binary"
 
-#: Kinds of rows: packed records of a bucket; keys that a document loses; keys of contexts that go on to the third pass.
-PACKED, LOST, OPEN = 0, 1, 2
+RECORDS = "node int, bucket int, kind int, doc long, sub int, data binary"
 
+#: Kinds of rows: packed runs of a node's bucket; runs that say that their shared string is split; parts of documents that are lost.
+SPLIT_UP, PACKED, LOST = 0, 1, 2
 
-def by_doc(kind: int, doc, keys) -> Iterator[tuple]:
-    """Rows (bucket, kind, doc, data) with the distinct keys of each document."""
+
+def lost_rows(doc, sub, low, high) -> Iterator[tuple]:
+    """Rows with the lost parts of each document, merged."""
     import numpy as np
 
     if not len(doc):
         return
-    order = np.lexsort((keys, doc))
-    d, k = doc[order], keys[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-    d, k = d[new], k[new]
-    cuts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(d)]):
-        yield -1, kind, int(d[a]), k[a:b].tobytes()
-
-
-def as_batch(rows: list[tuple]):
+    by = np.lexsort((low, sub, doc))
+    doc, sub, low, high = doc[by], sub[by], low[by], high[by]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])
+    base = np.cumsum(new) * FAR
+    reach = np.maximum.accumulate(base + high)
+    head = new.copy()
+    head[1:] |= (base + low)[1:] > reach[:-1]
+    at = np.flatnonzero(head)
+    spans = np.stack([low[at], reach[np.r_[at[1:], len(doc)] - 1] - base[at]], 1)
+    cuts = np.flatnonzero(new[at])
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+        yield -1, -1, LOST, int(doc[at[a]]), int(sub[at[a]]), spans[a:b].tobytes()
+
+
+def as_batches(rows: Iterator[tuple], size: int = 16 << 20) -> Iterator:
     import pyarrow as pa
 
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["bucket", "kind", "doc", "data"])
+    kinds = [("node", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("sub", pa.int32()), ("data", pa.binary())]
 
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), kinds)], names=[n for n, _ in kinds])
 
-def batches_of(rows: Iterator[tuple], size: int = 20_000) -> Iterator:
-    held = []
+    held, total = [], 0
     for row in rows:
         held.append(row)
-        if len(held) >= size:
-            yield as_batch(held)
-            held = []
+        total += 60 + len(row[-1])
+        if total >= size:
+            yield batch()
+            held, total = [], 0
     if held:
-        yield as_batch(held)
+        yield batch()
 
 
-def dealt(first, second, doc, bits: int, go_on: bool) -> Iterator[tuple]:
-    """Keep the smallest document of equal groups, note what the others lose, and pack the rest by bucket.
+def dealt(node: Node, runs: tuple, key, bits: int) -> Iterator[tuple]:
+    """Packed rows of a node's runs by bucket."""
+    import numpy as np
 
-    If ``go_on``, an anchor with more than SPLIT contexts here is known to be open: its contexts go to the third pass at once, and only two of
-    its documents to the bucket, where they show others that the anchor is shared. So no anchor, however common, fills a bucket.
-    """
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0]) if len(by) else np.empty(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)]):
+        yield node.number, int(bucket[by[a]]), PACKED, None, None, packed(picked(runs, by[a:b]))
+
+
+def flushed(node: Node, runs: tuple, bits: int, split: int) -> Iterator[tuple]:
+    """What a task passes on of the runs of a node: lost parts, runs by bucket, and, of strings with more than ``split`` different runs, half runs of the nodes below."""
     import numpy as np
 
-    order, head, above = smallest(first, second, doc)
-    lost = order[above]
-    yield from by_doc(LOST, doc[lost], folded(first[lost], second[lost]))
-    kept = order[head]
-    if go_on and len(kept):
-        f, d = first[kept], doc[kept]
-        cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        sizes = np.diff(np.r_[cuts, len(f)])
-        hot = np.repeat((sizes > SPLIT) & (np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts)), sizes)
+    gone, runs, group = settled(runs, True)
+    yield from lost_rows(*gone)
+    key = node.key(runs)
+    if node.low < node.high:
+        by = np.lexsort((group, key))
+        k, g = key[by], group[by]
+        head = np.ones(len(by), bool)
+        head[1:] = k[1:] != k[:-1]
+        fresh = head.copy()
+        fresh[1:] |= g[1:] != g[:-1]
+        number = np.cumsum(head) - 1
+        hot = np.zeros(len(by), bool)
+        hot[by] = (np.bincount(number, fresh) > split)[number] if len(by) else False
         if hot.any():
-            rows = kept[hot]
-            yield from by_doc(OPEN, doc[rows], folded(first[rows], second[rows]))
-            rows = rows[np.lexsort((doc[rows], first[rows]))]
-            edge = first[rows][1:] != first[rows][:-1]
-            kept = np.concatenate([kept[~hot], rows[np.r_[True, edge] | np.r_[edge, True]]])
-    kept = np.sort(kept)
-    bucket = first[kept] >> np.uint64(64 - bits)
-    kept = kept[np.lexsort((doc[kept], bucket))]
-    bucket = first[kept] >> np.uint64(64 - bits)
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(kept) else np.empty(0, np.int64)
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(kept)]):
-        part = kept[a:b]
-        yield int(bucket[a]), PACKED, None, packed(first[part], second[part], doc[part])
-
-
-class Records:
-    """Gathers records of a pass and deals them out when there are enough."""
-
-    def __init__(self, bits: int, go_on: bool):
-        self.bits, self.go_on, self.parts, self.size = bits, go_on, [], 0
-
-    def add(self, first, second, doc) -> Iterator[tuple]:
-        self.parts.append((first, second, doc))
-        self.size += len(doc)
-        if self.size >= HELD:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[tuple]:
-        import numpy as np
-
-        if self.size:
-            first, second, doc = (np.concatenate(x) for x in zip(*self.parts))
-            self.parts, self.size = [], 0
-            yield from dealt(first, second, doc, self.bits, self.go_on)
+            marks = by[head & hot[by]]
+            bucket = (key[marks] >> np.uint64(64 - bits)).astype(np.int64)
+            for b in np.unique(bucket).tolist():
+                yield node.number, b, SPLIT_UP, None, None, key[marks[bucket == b]].tobytes()
+            for part in node.parts():
+                yield from flushed(part, part.cut(picked(runs, hot)), bits, split)
+            runs, key = picked(runs, ~hot), key[~hot]
+    yield from dealt(node, runs, key, bits)
 
 
-def anchor_pass(bits: int):
-    """Over (id, bytes): records of all anchors."""
+def run_pass(bits: int):
+    """Over (id, sub, bytes): the runs of all windows."""
+    split, most, segment = SPLIT, HELD, SEGMENT
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
 
-        consts, records = worker_cache("suffixes", "constants", constants), Records(bits, True)
+        worker_cache("suffixes")
 
         def rows():
+            parts, size, root = [], 0, Node.of(0)
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                texts = (x.as_buffer().to_pybytes() if x.is_valid else None for x in batch.column(1))
-                for seg in segments(ids, texts, consts):
-                    _, own, first, context = seg.anchors()
-                    doc = np.array([ids[k] for k in seg.numbers], np.int64)[own]
-                    yield from records.add(first, context, doc)
-            yield from records.flush()
-
-        yield from batches_of(rows())
+                ids, subs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                texts = (x.as_buffer().to_pybytes() if i is not None and x.is_valid else None for i, x in zip(ids, batch.column(2)))
+                for pieces, held in segments(texts, segment):
+                    right, left, own, place = runs_in(pieces, held)
+                    doc = np.array([ids[k] for k, *_ in pieces], np.int64)[own]
+                    sub = np.array([subs[k] for k, *_ in pieces], np.int32)[own]
+                    parts.append((right, left, doc, sub, place, place))
+                    size += len(own)
+                    if size >= most:
+                        yield from flushed(root, joined(parts), bits, split)
+                        parts, size = [], 0
+            if parts:
+                yield from flushed(root, joined(parts), bits, split)
+
+        yield from as_batches(rows())
 
     return work
 
 
-def bucket_pass(bits: int, go_on: bool):
-    """Over rows of RECORDS, sorted by bucket: what documents lose and, if ``go_on``, contexts that share an anchor with others."""
+def least_per_window(runs: tuple, node: Node) -> Iterator[tuple]:
+    """What documents lose among runs, window by window: for each place of the anchor, windows are equal if they share the bytes behind and before it."""
+    import numpy as np
+
+    order, behind_shared = msd(words(runs[RIGHT]))
+    runs = picked(runs, order)
+    n = len(order)
+    by_left, before_shared = msd(words(runs[LEFT]))
+    behind, before = extent(runs)
+    for place in range(node.low, node.high + 1):
+        use = np.flatnonzero((WINDOW - behind <= place) & (place <= before))
+        if len(use) < 2:
+            continue
+        right = np.r_[0, np.cumsum(behind_shared < WINDOW - place)]
+        left = np.empty(n, np.int64)
+        left[by_left] = np.r_[0, np.cumsum(before_shared < place)]
+        key = (right * n + left)[use]
+        by = np.argsort(key, kind="stable")
+        key, at = key[by], use[by]
+        head = np.r_[True, key[1:] != key[:-1]]
+        least = np.minimum.reduceat(runs[DOC][at], np.flatnonzero(head))[np.cumsum(head) - 1]
+        at = at[runs[DOC][at] > least]
+        if len(at):
+            yield runs[DOC][at], runs[SUB][at], runs[FIRST][at] - place, runs[LAST][at] - place + WINDOW
+
+
+def solved(node: Node, runs: tuple, marks, bits: int) -> Iterator[tuple]:
+    """What documents lose among a bucket's runs of a node, and half runs of the strings that are split."""
+    import numpy as np
+
+    gone, runs, _ = settled(runs, False)
+    yield from lost_rows(*gone)
+    key = node.key(runs)
+    if len(marks):
+        hot = np.isin(key, marks)
+        for part in node.parts() if hot.any() else ():
+            own = part.cut(picked(runs, hot))
+            yield from dealt(part, own, part.key(own), bits)
+        runs, key = picked(runs, ~hot), key[~hot]
+    if not len(key):
+        return
+    # strings of one document end here
+    by = np.argsort(key, kind="stable")
+    runs, key = picked(runs, by), key[by]
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[cuts, len(key)])
+    mixed = np.minimum.reduceat(runs[DOC], cuts) != np.maximum.reduceat(runs[DOC], cuts)
+    group = np.repeat(np.arange(len(cuts), dtype=np.uint64), sizes)
+    open_ = np.repeat(mixed, sizes)
+    runs, group = picked(runs, open_), group[open_]
+    if not len(group):
+        return
+    # so do runs that share fewer bytes, on both sides together, than a window has
+    most = []
+    for side, k in ((RIGHT, WINDOW), (LEFT, PLACES)):
+        order, shared = msd([group, *words(runs[side])])
+        shared = np.minimum(np.maximum(shared - 8, 0), k)
+        best = np.empty(len(order), np.int64)
+        best[order] = np.maximum(np.r_[shared, 0], np.r_[0, shared])
+        most.append(best)
+    lost = list(least_per_window(picked(runs, most[0] + most[1] >= WINDOW), node))
+    if lost:
+        yield from lost_rows(*joined(lost))
+
+
+def bucket_pass(bits: int, depth: int):
+    """Over rows of RECORDS, sorted by node and bucket: what documents lose, and rows of deeper nodes."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
 
-        def solved(parts):
-            first, second, doc = (np.concatenate(x) for x in zip(*parts))
-            order, head, above = smallest(first, second, doc)
-            lost = order[above]
-            yield LOST, doc[lost], folded(first[lost], second[lost])
-            if go_on:
-                f, d = first[order[head]], doc[order[head]]
-                new = np.r_[True, f[1:] != f[:-1]]
-                cuts = np.flatnonzero(new)
-                mixed = np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts)
-                go = order[head][mixed[np.cumsum(new) - 1]]
-                yield OPEN, doc[go], folded(first[go], second[go])
+        worker_cache("suffixes")
 
         def rows():
-            held = {LOST: [], OPEN: []}
-            size, at, parts = 0, None, []
-
-            def flush():
-                for kind in held:
-                    if held[kind]:
-                        yield from by_doc(kind, *(np.concatenate(x) for x in zip(*held[kind])))
-                        held[kind] = []
+            at, parts, marks = None, [], []
 
             def close():
-                nonlocal size
                 if parts:
-                    for kind, doc, keys in solved(parts):
-                        held[kind].append((doc, keys))
-                        size += len(doc)
-                    parts.clear()
-                if size >= HELD:
-                    size = 0
-                    yield from flush()
+                    node = Node.of(at[0])
+                    yield from solved(node, joined(parts), np.concatenate([np.empty(0, np.uint64), *marks]), bits)
+                parts.clear()
+                marks.clear()
 
             for batch in batches:
-                for bucket, kind, doc, data in zip(*(c.to_pylist() for c in batch.columns)):
-                    if kind != PACKED:
-                        yield -1, kind, doc, data
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    number, bucket, kind, _, _, data = row
+                    if kind == LOST or Node.of(number).depth > depth:
+                        yield row
                         continue
-                    if bucket != at:
+                    if (number, bucket) != at:
                         yield from close()
-                        at = bucket
-                    parts.append(unpacked(data, bucket >> (bits - 8)))
+                        at = number, bucket
+                    if kind == SPLIT_UP:
+                        marks.append(np.frombuffer(data, np.uint64))
+                    else:
+                        parts.append(unpacked(data))
             yield from close()
-            yield from flush()
 
-        yield from batches_of(rows())
+        yield from as_batches(rows())
 
     return work
 
 
-def window_pass(bits: int):
-    """Over (id, bytes, keys of open contexts): records of the windows over those anchors."""
-
-    def work(batches: Iterator) -> Iterator:
-        import numpy as np
-
-        consts, records = worker_cache("suffixes", "constants", constants), Records(bits, False)
-
-        def rows():
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                texts = (x.as_buffer().to_pybytes() if x.is_valid else None for x in batch.column(1))
-                keys = batch.column(2)
-                for seg in segments(ids, texts, consts):
-                    where, own, first, context = seg.anchors()
-                    chosen = np.zeros(len(where), bool)
-                    for j, k in enumerate(seg.numbers.tolist()):
-                        a, b = np.searchsorted(own, [j, j + 1])
-                        chosen[a:b] = np.isin(folded(first[a:b], context[a:b]), key_array(keys[k].as_py()))
-                    near = np.zeros(seg.n + 1, np.int32)
-                    at = where[chosen]
-                    np.add.at(near, at - (WINDOW - ANCHOR), 1)
-                    np.add.at(near, at + 1, -1)
-                    places = np.flatnonzero((np.cumsum(near[:-1]) > 0) & seg.window_starts())
-                    one, two = seg.window_hashes(places)
-                    yield from records.add(one, two, np.array([ids[k] for k in seg.numbers], np.int64)[seg.piece_of(places)])
-            yield from records.flush()
-
-        yield from batches_of(rows())
-
-    return work
-
-
-def key_array(parts):
-    import numpy as np
-
-    return np.frombuffer(b"".join(parts or ()), np.uint64)
-
-
 def cut_pass(batches: Iterator) -> Iterator:
-    """Over (id, bytes, keys of lost contexts, keys of lost windows): id, digest of the text, bytes and runs removed, digest of what stays, what stays."""
+    """Over (id, sub, bytes, lists of lost parts): id, sub, bytes and runs removed, digest of what stays, what stays."""
     import hashlib
 
     import numpy as np
     import pyarrow as pa
 
-    consts = worker_cache("suffixes", "constants", constants)
+    worker_cache("suffixes")
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-        covered = [np.zeros(len(t), bool) for t in texts]
-        for seg in segments(ids, texts, consts):
-            where, own, first, context = seg.anchors()
-            starts = seg.window_starts()
-            gone = np.zeros(seg.n + 1, np.int32)
-            for j, k in enumerate(seg.numbers.tolist()):
-                lost, windows = key_array(batch.column(2)[k].as_py()), key_array(batch.column(3)[k].as_py())
-                low, high = int(seg.starts[j]), int(seg.starts[j] + seg.lengths[j])
-                if len(lost):
-                    a, b = np.searchsorted(own, [j, j + 1])
-                    at = where[a:b][np.isin(folded(first[a:b], context[a:b]), lost)]
-                    np.add.at(gone, np.maximum(at - (WINDOW - ANCHOR), low), 1)
-                    np.add.at(gone, np.minimum(at + WINDOW, high), -1)
-                if len(windows):
-                    places = low + np.flatnonzero(starts[low:high])
-                    at = places[np.isin(folded(*seg.window_hashes(places)), windows)]
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + WINDOW, -1)
-            gone = np.cumsum(gone[:-1]) > 0
-            for j, (k, at, _, _) in enumerate(seg.pieces):
-                covered[k][at : at + int(seg.lengths[j])] |= gone[seg.starts[j] : seg.starts[j] + seg.lengths[j]]
         out = []
-        for i, text, own_bytes in zip(ids, texts, covered):
-            runs = int(own_bytes[:1].sum()) + int(np.count_nonzero(own_bytes[1:] & ~own_bytes[:-1]))
-            rest = np.frombuffer(text, np.uint8)[~own_bytes].tobytes()
-            out.append((i, hashlib.sha256(text).digest(), int(own_bytes.sum()), runs, hashlib.sha256(rest).digest(), rest))
+        for i, sub, text, parts in zip(*(batch.column(k) for k in range(4))):
+            text = text.as_buffer().to_pybytes()
+            spans = np.frombuffer(b"".join(parts.as_py()), np.int64).reshape(-1, 2)
+            steps = np.zeros(len(text) + 1, np.int32)
+            np.add.at(steps, spans[:, 0], 1)
+            np.add.at(steps, spans[:, 1], -1)
+            gone = np.cumsum(steps[:-1]) > 0
+            n_spans = int(gone[:1].sum()) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+            rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
+            out.append((i.as_py(), sub.as_py(), int(gone.sum()), n_spans, hashlib.sha256(rest).digest(), rest))
         columns = list(zip(*out)) or [[]] * 6
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "whole", "removed", "spans", "kept", "rest"])
-
-
-def run_pass(source: DataFrame, mapper, bits: int, go_on: bool, name: str) -> DataFrame:
-    """Deal out the records of ``source`` by bucket and solve them: a written table (kind, doc, data)."""
-    records = source.mapInArrow(mapper, RECORDS)
-    where = F.when(F.col("kind") == PACKED, F.col("bucket")).otherwise(-1 - F.col("doc"))
-    sorted_rows = records.withColumn("at", where).repartition("at").sortWithinPartitions("kind", "bucket").drop("at")
-    return written(sorted_rows.mapInArrow(bucket_pass(bits, go_on), RECORDS).select("kind", "doc", "data"), name)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "sub", "removed", "spans", "kept", "rest"])
 
 
-def keys_by_doc(rows: DataFrame, kind: int, name: str) -> DataFrame:
-    """All keys of each document, a list no longer than the document has places for."""
-    return rows.where(F.col("kind") == kind).groupBy("doc").agg(F.collect_list("data").alias(name))
+def lost_parts(texts: DataFrame, bits: int, tasks: int) -> DataFrame:
+    """Rows (doc, sub, data) of the parts that documents lose: passes over buckets, one in all unless strings are split."""
+    kind, out, depth, more = F.col("kind"), None, 0, True
+    rows = texts.mapInArrow(run_pass(bits), RECORDS)
+    while more:
+        # lost parts pass through, spread evenly; the rest meets by node and bucket
+        where = F.when(kind == LOST, F.xxhash64("doc", "data")).otherwise(F.xxhash64("node", "bucket"))
+        dealt_out = rows.withColumn("at", where).repartition(tasks, "at").sortWithinPartitions("node", "bucket", "kind").drop("at")
+        done, more = written_any(dealt_out.mapInArrow(bucket_pass(bits, depth), RECORDS), "runs", kind != LOST)
+        lost = done.where(kind == LOST).select("doc", "sub", "data")
+        out = lost if out is None else out.unionByName(lost)
+        rows, depth = done.where(kind != LOST), depth + 1
+    return out
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(summary, cuts): id, n_bytes, sha of every row; and, for documents that lose bytes, doc, whole, removed, spans, kept, rest.
+    """(summary, cuts): id, sub, n_bytes, sha of every row; and, for documents that lose bytes, doc, sub, removed, spans, kept, rest.
 
     Ids are integers. Null texts count as empty. Rows with a null id lose nothing and take nothing from others; rows that share an id take nothing from
-    each other.
+    each other. ``sub`` tells rows of one id apart by their texts; it is zero where ids are unique.
     """
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), data.alias("data"))
-    summary = written(texts.select("id", F.octet_length("data").cast("long").alias("n_bytes"), F.unhex(F.sha2("data", 256)).alias("sha")), "summary")
+    summary = written(texts.select("id", F.octet_length("data").cast("long").alias("n_bytes"), (F.crc32("data") - (1 << 31)).cast("int").alias("crc"), F.unhex(F.sha2("data", 256)).alias("sha")), "summary")
     total = summary.agg(F.sum("n_bytes")).first()[0] or 0
+    given = summary.where("id IS NOT NULL")
+    repeated = not given.groupBy("id").count().where("count > 1").isEmpty()
+    sub = ((F.crc32("data") - (1 << 31)) if repeated else F.lit(0)).cast("int").alias("sub")
+    summary = summary.withColumn("sub", F.col("crc") if repeated else F.lit(0)).drop("crc")
     bits = max(8, min(24, (total // BUCKET_BYTES).bit_length()))
-    solved = run_pass(texts, anchor_pass(bits), bits, True, "anchors")
-    lost = keys_by_doc(solved, LOST, "lost")
-    going = keys_by_doc(solved, OPEN, "going").withColumnRenamed("doc", "id")
-    deeper = run_pass(those(texts, going).join(going, "id").select("id", "data", "going"), window_pass(bits), bits, False, "windows")
-    windows = keys_by_doc(deeper, LOST, "windows")
-    keys = lost.join(windows, "doc", "full_outer").withColumnRenamed("doc", "id")
-    cuts = those(texts, keys).join(keys, "id").select("id", "data", "lost", "windows").mapInArrow(cut_pass, "doc long, whole binary, removed long, spans long, kept binary, rest binary")
+    tasks = max(8, total // TASK_BYTES)
+    texts = texts.select("id", sub, "data")
+    parts = lost_parts(texts, bits, tasks).withColumnRenamed("doc", "id").repartition(tasks, "id", "sub")
+    # a list no longer than the document has places for
+    lost = written(parts.groupBy("id", "sub").agg(F.collect_list("data").alias("parts")), "lost")
+    rows = those(texts, lost).repartition(tasks, "id", "sub").join(lost.repartition(tasks, "id", "sub"), ["id", "sub"])
+    cuts = rows.select("id", "sub", "data", "parts").mapInArrow(cut_pass, "doc long, sub int, removed long, spans long, kept binary, rest binary")
     return summary, cuts
 
 
 def those(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The texts whose id may be among the keys, by a filter of bounded size; so no others shuffle for the exact join."""
-    keys = written(keys.select("id"), "ids")
+    """The texts whose id may be among the keys, a written table, by a filter of bounded size; so few others shuffle for the exact join."""
     bits = filter_bits(keys.count())
     bitmap = written(filter_of(keys, [F.col("id")], bits), "id-filter")
-    return maybe_in(texts, [F.col("id")], bitmap, "__maybe", bits).where("__maybe").select("id", "data")
+    return maybe_in(texts, [F.col("id")], bitmap, "__maybe", bits).where("__maybe").drop("__maybe")
 
 
 def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, as :func:`removals` defines them; an empty table gives no rows."""
     summary, cuts = removals(docs, id_col, text_col)
-    cuts = cuts.select("doc", "whole", "removed", "spans", "kept").dropDuplicates(["doc", "whole"])
-    joined = summary.join(cuts, (F.col("id") == F.col("doc")) & (F.col("sha") == F.col("whole")), "left")
+    cuts = cuts.select("doc", F.col("sub").alias("own"), "removed", "spans", "kept").dropDuplicates(["doc", "own"])
+    joined = summary.join(cuts, (F.col("id") == F.col("doc")) & (F.col("sub") == F.col("own")), "left")
     zero = F.lit(0).cast("long")
     return joined.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.lower(F.hex(F.coalesce("kept", "sha"))).alias("kept_sha256"))

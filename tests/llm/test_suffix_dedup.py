@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import suffix_dedup as op
@@ -83,19 +84,66 @@ def test_long_texts_in_parts_and_many_flushes(docs_of):
         assert run(docs_of(texts)) == naive(list(enumerate(texts)))
 
 
-def test_equal_windows_have_equal_anchors():
-    consts = op.constants()
+def test_equal_windows_lie_in_runs_of_one_anchor():
     rng = random.Random(5)
-    text = bytes(rng.choice(b"abc ") for _ in range(3000))
-    seg = op.Segment([(0, 0, 0, len(text))], [text], consts)
-    places = set((seg.anchors()[0] - seg.starts[0]).tolist())
-    for k in range(0, 2950, 7):
-        part = op.Segment([(0, 0, 0, 50)], [text[k : k + 50]], consts)
-        own = (part.anchors()[0] - part.starts[0]).tolist()
-        assert own and all(k + x in places for x in own)
-    assert len(places) < 3000 / 9
-    first, second = seg.window_hashes(np.arange(seg.starts[0], seg.starts[0] + 100))
-    assert len(set(first.tolist())) == 100 == len(set(second.tolist()))
+    text = bytes(rng.choice(b"abc ") for _ in range(3000)) + b"x" * 200 + b"ab" * 100
+    right, left, own, place = op.runs_in([(0, 0, 1 << 20)], [text])
+    windows = {}
+    for r, b, p in zip(right, left, place.tolist()):
+        behind, before = int((r != op.FILL).sum()), int((b != op.FILL).sum())
+        assert text[p : p + behind] == r[:behind].tobytes() and text[p - before : p] == b[:before].tobytes()[::-1]
+        for offset in range(op.WINDOW - behind, before + 1):
+            assert windows.setdefault(p - offset, offset) == offset
+    assert sorted(windows) == list(range(len(text) - 49)) and len(place) < 3000 / 15 + 400
+    places = {}
+    for w, offset in windows.items():
+        assert places.setdefault(text[w : w + 50], offset) == offset
+
+
+def test_radix_sort():
+    rng = random.Random(2)
+    rows = [bytes(rng.choice(b"ab") for _ in range(20)) for _ in range(300)] + [b"a" * 20] * 3 + [bytes([255, 0] * 10)]
+    matrix = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 20)
+    order, shared = op.msd(op.words(matrix))
+    ordered = [rows[k] for k in order]
+    assert ordered == sorted(rows)
+    common = lambda a, b: next((k for k in range(20) if a[k] != b[k]), 24)
+    assert shared.tolist() == [common(a, b) for a, b in zip(ordered, ordered[1:])]
+
+
+def passes(pairs, bits=8, tasks=3):
+    """The passes over tasks and buckets without Spark: rows like those of naive."""
+    batch = lambda rows, kinds: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[str(k) for k in range(len(kinds))])
+    listed = lambda batches: [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+    rows = [(i, 0, (x or "").encode()) for i, x in pairs]
+    out = [r for k in range(tasks) for r in listed(op.run_pass(bits)([batch(rows[k::tasks], [pa.int64(), pa.int32(), pa.binary()])]))]
+    parts, depth = {}, 0
+    while out:
+        for r in out:
+            if r[2] == op.LOST:
+                parts.setdefault(r[3], []).append(r[5])
+        left = sorted((r for r in out if r[2] != op.LOST), key=lambda r: r[:3])
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        out = listed(op.bucket_pass(bits, depth)([batch(left, kinds)])) if left else []
+        depth += 1
+    found = []
+    for i, _, data in rows:
+        cut = listed(op.cut_pass([batch([(i, 0, data, parts[i])], [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())])])) if i in parts else []
+        found.append((i, len(data), cut[0][2], cut[0][3], cut[0][4].hex()) if cut else (i, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+    return sorted(found, key=str), depth
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_split_strings_many_flushes_and_long_texts(monkeypatch, seed):
+    rng = random.Random(seed)
+    line = "this very common line stands in many documents"
+    texts = corpus(seed, 40) + [f"{rng.choice('ab') * rng.randint(0, 60)}{line}{rng.choice('cd') * rng.randint(0, 60)}" for _ in range(40)]
+    pairs = list(enumerate(texts))
+    rng.shuffle(pairs)
+    for name, values in (("SPLIT", [64, 2, 1]), ("HELD", [500_000, 300, 40]), ("SEGMENT", [1 << 20, 211])):
+        monkeypatch.setattr(op, name, values[seed % len(values)])
+    got, depth = passes(pairs)
+    assert got == naive(pairs) and (depth > 2) == (seed % 3 > 0)
 
 
 def test_query(spark):
