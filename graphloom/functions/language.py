@@ -27,8 +27,8 @@ def body_of(expression: Column) -> Column:
 
 
 def grouped(df: DataFrame, column: str) -> DataFrame:
-    """Expressions by prefix (null for none), in order."""
-    return df.groupBy(prefix_of(F.col(column)).alias("prefix")).agg(F.sort_array(F.collect_list(column)).alias("expressions"))
+    """Distinct expressions by prefix (null for none): (prefix, expression, n), n times each; no group is gathered in one row."""
+    return df.groupBy(prefix_of(F.col(column)).alias("prefix"), F.col(column).alias("expression")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def route(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 from ..operators.pattern import EdgePattern, NodePattern
+from .text import find_json
 
 
 def schema_of(value) -> dict:
@@ -75,6 +76,42 @@ ENGINE_TOOLS = Tools(
 )
 
 
+@dataclass(frozen=True)
+class Response:
+    """What a model answered: its kind (tool_calls, json or text), the JSON in it, and its calls."""
+
+    kind: str
+    json: str | None
+    calls: tuple[Call, ...] = ()
+
+
+def response(text: str) -> Response:
+    found = find_json(text)
+    try:
+        body = json.loads(text)
+        calls = [c["function"] for choice in body["choices"] for c in (choice.get("message") or {}).get("tool_calls") or []]
+    except (ValueError, KeyError, TypeError):
+        calls = []
+    if calls:
+        return Response("tool_calls", found, tuple(Call(c["name"], c["arguments"]) for c in calls))
+    return Response("json" if found else "text", found)
+
+
+def match_text(start: NodePattern, edge: EdgePattern, end: NodePattern) -> str:
+    """A pattern as text of a graph query language; values are quoted, never pasted as they are."""
+
+    def quoted(v) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else json.dumps(v)
+
+    def node(name: str, p: NodePattern) -> str:
+        known = ", ".join(f"{k}: {quoted(v)}" for k, v in sorted(p.props.items()))
+        return f"({name}{':' + p.label if p.label else ''}{' {' + known + '}' if known else ''})"
+
+    link = f"[r{':' + edge.rel_type if edge.rel_type else ''}]"
+    arrow = {"out": f"-{link}->", "in": f"<-{link}-", "both": f"-{link}-"}[edge.direction]
+    return f"MATCH {node('a', start)}{arrow}{node('b', end)} RETURN a, r, b"
+
+
 def describe(start: NodePattern, edge: EdgePattern, end: NodePattern) -> str:
     """A pattern in words."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.language import body_of, prefix_of
 from ..functions.text import clamped_priority, duration, listed
 from ..sources.graph import Graph
-from ..sources.work import written
+from ..sources.work import written, written_any
 from ..values import loose_number
 from ..vocab import BEHAVIOR_KEYS
 
@@ -42,14 +42,30 @@ def parsed_precondition(text: Column) -> Column:
     return out.otherwise(make("pass", none, none))
 
 
-def passes(graph: Graph, rows: DataFrame, text: str = "precondition") -> DataFrame:
+#: Most keys that are listed to the scan of the properties.
+MAX_KEYS = 1000
+
+
+def named_keys(rows: DataFrame, text: str = "precondition") -> list[str] | None:
+    """The keys of properties that the preconditions of ``rows`` name, at most MAX_KEYS; None if there are more."""
+    found = rows.select(parsed_precondition(F.col(text))["key"].alias("key")).where("key IS NOT NULL").distinct().limit(MAX_KEYS + 1).collect()
+    return [r.key for r in found] if len(found) <= MAX_KEYS else None
+
+
+def graph_keys(graph: Graph) -> list[str] | None:
+    """The keys that any precondition in the graph names: one scan of that property's partition."""
+    return named_keys(graph.props.where(F.col("key") == "hasPrecondition"), "raw")
+
+
+def passes(graph: Graph, rows: DataFrame, text: str = "precondition", keys: list[str] | None = None) -> DataFrame:
     """``rows`` (node_id and a precondition's text) with column passes: one join with the properties that the preconditions name.
 
     Equality is by the text of a value, order by its number; a comparison with what isn't there or is no number is false, and a property that holds
-    null exists.
+    null exists. With ``keys``, all that preconditions may name, only these partitions of the properties are read.
     """
     parsed = rows.withColumn("__p", parsed_precondition(F.col(text)))
-    props = graph.props.select(F.col("node_id").alias("__node"), F.col("key").alias("__key"), "kind", "raw", "num")
+    props = graph.props if keys is None else graph.props.where(F.col("key").isin(*keys) if keys else F.lit(False))
+    props = props.select(F.col("node_id").alias("__node"), F.col("key").alias("__key"), "kind", "raw", "num")
     joined = parsed.join(props, (F.col("node_id") == F.col("__node")) & (F.col("__p.key") == F.col("__key")), "left")
     number, given = loose_number(F.col("kind"), F.col("raw"), F.col("num")), F.col("__p.value").try_cast("double")
     there, actual = F.col("__key").isNotNull(), F.coalesce("raw", F.lit(""))
@@ -73,7 +89,7 @@ def effects(rows: DataFrame) -> DataFrame:
 def batch(graph: Graph) -> DataFrame:
     """All behaviours with anything to do, whether they pass, and their place in the order of execution (priority down, duration up, key)."""
     rows = behaviors(graph).where("precondition <> '' OR effect <> '' OR size(parts) > 0")
-    return passes(graph, rows).withColumn("order_key", F.struct((-F.col("priority")).alias("p"), "duration", "node_id"))
+    return passes(graph, rows, keys=graph_keys(graph)).withColumn("order_key", F.struct((-F.col("priority")).alias("p"), "duration", "node_id"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -92,12 +108,14 @@ def composed(graph: Graph, max_depth: int = 5) -> DataFrame:
 
     A behaviour that does not pass has no parts run, and depth 0 is the behaviour alone.
     """
-    rows = passes(graph, behaviors(graph))
+    rows = written(passes(graph, behaviors(graph), keys=graph_keys(graph)).select("node_id", "passes", "parts"), "behaviors")
     names = graph.labelled("Entity").select(F.col("node_id").alias("part"), F.explode(F.array_distinct(F.array_compact(F.array("code", "name")))).alias("text"))
-    links = rows.where("passes").select("node_id", F.explode("parts").alias("text")).join(names, "text").select(F.col("node_id").alias("at"), "part").distinct()
+    links = written(rows.where("passes").select("node_id", F.explode("parts").alias("text")).join(names, "text").select(F.col("node_id").alias("at"), "part").distinct(), "parts")
     level = rows.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth"))
     out = level
     for depth in range(1, max_depth + 1):
-        level = level.select("root", F.col("node_id").alias("at")).join(links, "at").select("root", F.col("part").alias("node_id"), F.lit(depth).alias("depth")).distinct()
+        level, more = written_any(level.select("root", F.col("node_id").alias("at")).join(links, "at").select("root", F.col("part").alias("node_id"), F.lit(depth).alias("depth")).distinct(), "level")
+        if not more:
+            break
         out = out.unionByName(level)
     return out

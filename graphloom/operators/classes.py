@@ -165,6 +165,20 @@ def instances(graph: Graph, expression: Expr | str, version: str | None = None)
     return build(expression)
 
 
+@dataclass(frozen=True)
+class Result:
+    """What a class expression came to: its key, how many individuals it has, and the first few of them."""
+
+    expression: str
+    count: int
+    sample: tuple[str, ...]
+
+
+def result(graph: Graph, expression: Expr | str, version: str | None = None, sample: int = 10) -> Result:
+    found = instances(graph, expression, version)
+    return Result(str(expression), found.count(), tuple(r.iri for r in found.orderBy("iri").limit(sample).collect()))
+
+
 def subsumes(graph: Graph, upper: Expr | str, lower: Expr | str, version: str | None = None) -> DataFrame:
     """One row (holds): whether every instance of ``lower`` is one of ``upper``; true if there are none."""
     outside = instances(graph, lower, version).join(instances(graph, upper, version), "iri", "left_anti")

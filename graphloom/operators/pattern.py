@@ -76,7 +76,10 @@ def match(graph: Graph, start: NodePattern, edge: EdgePattern, end: NodePattern)
 def get_nodes(graph: Graph, names: DataFrame | list[str]) -> DataFrame:
     """For each name (column alias, or a list), the node that has it as id, iri, code or key; of several the smallest key: (alias, nodes' columns)."""
     if isinstance(names, list):
-        names = graph.spark.createDataFrame([(n,) for n in names], "alias string")
+        # literal names reach the scan as equalities of columns
+        few = graph.with_(nodes=graph.named(names))
+        keyed = few.aliases().where(F.col("alias").isin(*names)).groupBy("alias").agg(F.min("node_id").alias("node_id"))
+        return keyed.join(few.nodes, "node_id").select("alias", *graph.nodes.columns)
     keyed = graph.aliases().join(names, "alias", "left_semi").groupBy("alias").agg(F.min("node_id").alias("node_id"))
     return keyed.join(graph.nodes, "node_id").select("alias", *graph.nodes.columns)
 
@@ -138,6 +141,8 @@ def resolve_ids(graph: Graph, specs: DataFrame, prefix: str) -> DataFrame:
     names = ranked.select("node_id", "labels", "n.by", "n.text").where("text IS NOT NULL")
     order = F.coalesce(*(F.when(F.array_contains("labels", x), F.lit(k)) for k, x in enumerate(("Entity", "Type", "Patrol"))), F.lit(3))
     left = specs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", wanted).withColumn("__label", label)
+    # of all names only those that are asked for go on
+    names = names.join(left.select(F.col("__text").alias("text")).distinct(), "text", "left_semi")
     joined = left.join(names, (F.col("__text") == F.col("text")) & (F.col("__label").isNull() | F.array_contains(F.col("labels"), F.col("__label"))), "left")
     best = joined.groupBy("__row", *specs.columns, "__text").agg(F.min(F.when(F.col("node_id").isNotNull(), F.struct(order.alias("o"), F.col("by"), F.col("node_id")))).alias("best"))
     return best.select(*specs.columns, F.coalesce("best.node_id", "__text").alias(f"{prefix}_node"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.graph import Graph
 from .pattern import relationships
 from .timeline import within
-from .traverse import ancestors, inherited_props, summarize_relations
+from .traverse import ancestors, descendants, inherited_props, summarize_relations
 
 
 def search(graph: Graph, code: str | None = None, type_: str | None = None, subclass_of: str | None = None, keyword: str | None = None, props: dict | None = None, near: tuple[float, float, float] | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def search(graph: Graph, code: str | None = None, type_: str | None = None, subc
         found = found.where(F.col("type") == type_)
     if subclass_of is not None:
         types = graph.labelled("Type").where((F.col("node_id") == subclass_of) | (F.col("name") == subclass_of)).select("node_id")
-        below = ancestors(graph).join(types.withColumnRenamed("node_id", "ancestor"), "ancestor", "left_semi").select(F.col("node").alias("node_id"))
+        below = descendants(graph, types.withColumnRenamed("node_id", "node")).select(F.col("descendant").alias("node_id"))
         scope = types.unionByName(below).distinct()
         names = scope.join(graph.nodes.select("node_id", "name"), "node_id").select(F.explode(F.array_compact(F.array("node_id", "name"))).alias("text")).distinct()
         linked = graph.edges.where("rel_type = 'INSTANCE_OF'").join(scope.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(F.col("src").alias("node_id"))
@@ -48,12 +48,11 @@ def search(graph: Graph, code: str | None = None, type_: str | None = None, subc
 def context(graph: Graph, node_id: str) -> dict[str, DataFrame]:
     """What is known around an entity: its own and inherited properties, type chain, and summaries of its edges in both directions."""
     one = F.col("node_id") == node_id
-    chain = graph.nodes.where(one).select("type").where("type IS NOT NULL")
-    types = graph.labelled("Type").select("node_id", "name")
-    start = types.join(chain, (F.col("node_id") == F.col("type")) | (F.col("name") == F.col("type")), "left_semi").select(F.col("node_id").alias("ancestor"), F.lit(0).alias("depth"))
-    above = ancestors(graph).join(start.select(F.col("ancestor").alias("node")), "node", "left_semi").select("ancestor", "depth")
+    chain = [r.type for r in graph.nodes.where(one).select("type").where("type IS NOT NULL").collect()]  # of one node
+    start = graph.labelled("Type").where(F.col("node_id").isin(*chain) | F.col("name").isin(*chain) if chain else F.lit(False)).select(F.col("node_id").alias("ancestor"), F.lit(0).alias("depth"))
+    above = ancestors(graph, of=start.select(F.col("ancestor").alias("node"))).select("ancestor", "depth")
     return {
-        "properties": inherited_props(graph).where(one),
+        "properties": inherited_props(graph, of=graph.nodes.where(one).select("node_id")),
         "types": start.unionByName(above),
         "outgoing": summarize_relations(relationships(graph, node_id)),
         "incoming": summarize_relations(relationships(graph, node_id, direction="in").select("rel_type", F.col("src").alias("dst"))),

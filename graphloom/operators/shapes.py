@@ -99,7 +99,7 @@ def focus_nodes(graph: Graph, shape: Shape) -> DataFrame:
         if kind == "class":
             found = graph.labelled(name).select("node_id")
         elif kind == "node":
-            found = graph.aliases().where(F.col("alias") == name).select("node_id")
+            found = graph.named([name]).select("node_id")
         elif kind == "subjects_of":
             found = graph.props.where(F.col("key") == name).select("node_id").unionByName(graph.edges.where(F.col("rel_type") == name).select(F.col("src").alias("node_id")))
         elif kind == "objects_of":

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graph import Graph
-from ..sources.work import written
+from ..sources.work import written, written_any
 from ..vocab import META_KEYS, SUB_CLASS_OF
 from .pattern import has_inference_prefix, is_domain, is_ontology_relation
 
@@ -49,9 +49,9 @@ def explore(graph: Graph, starts: DataFrame, max_depth: int = 3, direction: str
         reached = frontier.select("start", F.col("node").alias("here"), "confidence").join(steps, "here").join(own, "there", "left")
         best = reached.groupBy("start", F.col("there").alias("node")).agg(F.max(F.col("confidence") * F.coalesce("own", F.lit(1.0))).alias("confidence"))
         new = best.join(visited, ["start", "node"], "left_anti")
-        new = written(new.select("start", "node", F.lit(hop).alias("hop"), "confidence", (F.col("confidence") < threshold).alias("blocked")), "hops")
+        new, more = written_any(new.select("start", "node", F.lit(hop).alias("hop"), "confidence", (F.col("confidence") < threshold).alias("blocked")), "hops")
         out.append(new)
-        if new.isEmpty():
+        if not more:
             break
         visited = visited.unionByName(new.select("start", "node"))
         frontier = new.where("NOT blocked")
@@ -61,16 +61,21 @@ def explore(graph: Graph, starts: DataFrame, max_depth: int = 3, direction: str
     return rows
 
 
-def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Rows (node, ancestor, depth) of paths over edges (node, above), of at most ``max_hops`` where given, with the least depth of each pair; cycles end."""
+def closure(edges: DataFrame, max_hops: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """Rows (node, ancestor, depth) of paths over edges (node, above), of at most ``max_hops`` where given, with the least depth of each pair; cycles end.
+
+    With ``starts`` (column node), only paths from these nodes are followed.
+    """
     step = written(edges.select("node", "above").distinct().where("node <> above"), "steps")
-    frontier = step.select("node", F.col("above").alias("ancestor"), F.lit(1).alias("depth"))
+    first = step if starts is None else step.join(starts.select("node").distinct(), "node", "left_semi")
+    frontier = first.select("node", F.col("above").alias("ancestor"), F.lit(1).alias("depth"))
+    frontier = frontier if starts is None else written(frontier, "closure")
     out, seen = [frontier], frontier.select("node", "ancestor")
     for depth in count(2) if max_hops is None else range(2, max_hops + 1):
         reached = frontier.select("node", F.col("ancestor").alias("at")).join(step.select(F.col("node").alias("at"), "above"), "at")
         new = reached.select("node", F.col("above").alias("ancestor")).where("node <> ancestor").distinct().join(seen, ["node", "ancestor"], "left_anti")
-        frontier = written(new.withColumn("depth", F.lit(depth)), "closure")
-        if frontier.isEmpty():
+        frontier, more = written_any(new.withColumn("depth", F.lit(depth)), "closure")
+        if not more:
             break
         out.append(frontier)
         seen = seen.unionByName(frontier.select("node", "ancestor"))
@@ -80,14 +85,25 @@ def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     return rows
 
 
-def ancestors(graph: Graph, max_hops: int = 10) -> DataFrame:
-    """Rows (node, ancestor, depth) over subClassOf, all parents of a type included."""
+def ancestors(graph: Graph, max_hops: int = 10, of: DataFrame | None = None) -> DataFrame:
+    """Rows (node, ancestor, depth) over subClassOf, all parents of a type included; ``of`` (column node) names the types to start from."""
     up = graph.edges.where(F.col("rel_type") == SUB_CLASS_OF).select(F.col("src").alias("node"), F.col("dst").alias("above"))
-    return closure(up, max_hops)
+    return closure(up, max_hops, of)
+
+
+def descendants(graph: Graph, of: DataFrame, max_hops: int = 10) -> DataFrame:
+    """Rows (node, descendant, depth) below the types of ``of`` (column node), searched from these downwards."""
+    down = graph.edges.where(F.col("rel_type") == SUB_CLASS_OF).select(F.col("dst").alias("node"), F.col("src").alias("above"))
+    return closure(down, max_hops, of).withColumnRenamed("ancestor", "descendant")
+
 
+def hop_counts(found: DataFrame) -> DataFrame:
+    """What a search of :func:`explore` came to: (hop, nodes, blocked) per hop."""
+    return found.groupBy("hop").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("blocked").alias("blocked"))
 
-def inherited_props(graph: Graph, max_hops: int = 20) -> DataFrame:
-    """Properties of entities with those of their types: (node_id, key, kind, raw, num, from_node, depth).
+
+def inherited_props(graph: Graph, max_hops: int = 20, of: DataFrame | None = None) -> DataFrame:
+    """Properties of entities with those of their types: (node_id, key, kind, raw, num, from_node, depth); ``of`` (column node_id) names the entities.
 
     A type is linked by the property type (a key or name) or by INSTANCE_OF. The entity's own value comes first (depth 0), then the nearest type's,
     then that of the first name. Keys that identify a node are not inherited.
@@ -95,10 +111,12 @@ def inherited_props(graph: Graph, max_hops: int = 20) -> DataFrame:
     types = graph.labelled("Type")
     names = types.select("node_id", F.explode(F.array_distinct(F.array_compact(F.array("node_id", "name")))).alias("text"))
     entities = graph.labelled("Entity")
+    entities = entities if of is None else entities.join(of.select("node_id").distinct(), "node_id", "left_semi")
     by_prop = entities.where("type IS NOT NULL").select(F.col("node_id").alias("entity"), F.col("type").alias("text")).join(names, "text").select("entity", "node_id")
     by_edge = graph.edges.where(F.col("rel_type") == "INSTANCE_OF").select(F.col("src").alias("entity"), F.col("dst").alias("node_id")).join(types.select("node_id"), "node_id", "left_semi").join(entities.select(F.col("node_id").alias("entity")), "entity", "left_semi")
     direct = by_prop.unionByName(by_edge.select("entity", "node_id")).distinct()
-    up = ancestors(graph, max_hops)
+    direct = direct if of is None else written(direct, "types")
+    up = ancestors(graph, max_hops, None if of is None else direct.select(F.col("node_id").alias("node")))
     chain = direct.select("entity", F.col("node_id").alias("from_node"), F.lit(1).alias("depth")).unionByName(
         direct.join(up, F.col("node_id") == F.col("node")).select("entity", F.col("ancestor").alias("from_node"), (F.col("depth") + 1).alias("depth"))
     )
@@ -129,8 +147,8 @@ def reachable(steps: DataFrame, seeds: DataFrame, max_hops: int | None = None) -
     out = seen = frontier
     for depth in hops(1, max_hops):
         new = frontier.select(F.col("node_id").alias("src")).join(steps, "src").select(F.col("dst").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
-        frontier = written(new.withColumn("depth", F.lit(depth)), "reach")
-        if frontier.isEmpty():
+        frontier, more = written_any(new.withColumn("depth", F.lit(depth)), "reach")
+        if not more:
             break
         if max_hops is not None and depth > max_hops:
             raise RuntimeError(f"more nodes lie beyond max_hops={max_hops}")
@@ -138,13 +156,23 @@ def reachable(steps: DataFrame, seeds: DataFrame, max_hops: int | None = None) -
     return out
 
 
+def samples(df: DataFrame, group: str, value: str, n: int = 3) -> DataFrame:
+    """The ``n`` least distinct values of each group, for logs and summaries."""
+    # the filter on row_number reaches below the shuffle as a group limit, so a group of any size sends n rows per task
+    return df.select(group, value).distinct().selectExpr(f"`{group}`", f"`{value}`", f"row_number() OVER (PARTITION BY `{group}` ORDER BY `{value}`) AS k").where(F.col("k") <= n).drop("k")
+
+
 def summarize_relations(edges: DataFrame, top: int = 15) -> DataFrame:
     """The most frequent relation types: (rel_type, n, samples), three target samples each; ties by name."""
     counts = edges.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rel_type").limit(top)
-    # the filter on row_number reaches below the shuffle as a group limit, so a type of any size sends three rows per task
-    least = edges.select("rel_type", "dst").distinct().selectExpr("rel_type", "dst", "row_number() OVER (PARTITION BY rel_type ORDER BY dst) AS k").where("k <= 3")
-    samples = least.groupBy("rel_type").agg(F.array_sort(F.collect_list("dst")).alias("samples"))
-    return counts.join(samples, "rel_type").select("rel_type", "n", "samples").orderBy(F.desc("n"), "rel_type")
+    shown = samples(edges, "rel_type", "dst").groupBy("rel_type").agg(F.array_sort(F.collect_list("dst")).alias("samples"))
+    return counts.join(shown, "rel_type").select("rel_type", "n", "samples").orderBy(F.desc("n"), "rel_type")
+
+
+def top_parents(graph: Graph, top: int = 10) -> DataFrame:
+    """The types with most types directly below them: (node_id, children); ties by key."""
+    links = graph.edges.where(F.col("rel_type") == SUB_CLASS_OF)
+    return links.groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("children")).orderBy(F.desc("children"), "node_id").limit(top)
 
 
 def next_steps(graph: Graph, top: int = 10, inference_only: bool = False) -> DataFrame:

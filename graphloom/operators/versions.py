@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StoreError
-from ..sources.graph import NODES, PROPS, Graph, from_rows, full
+from ..sources.graph import EDGES, NODES, PROPS, Graph, from_rows, full
 from ..values import kind_of, raw_column, raw_of
 from ..vocab import ENTITY_FLOATS, ENTITY_INTEGERS, ENTITY_LISTS, ENTITY_STRINGS
 from .pattern import exists_code, exists_type
@@ -77,6 +77,40 @@ def create_type(graph: Graph, name: str, parent: str | None = None, **props) ->
     return insert(graph, [{"labels": ["Type"], "id": f"type:{name}", "name": name, **props}], edges)
 
 
+def import_types(graph: Graph, pairs: DataFrame) -> Graph:
+    """With types from a table of any size (name, parent): nodes for names that no type has, and subClassOf edges that aren't there."""
+    key = lambda c: F.concat(F.lit("type:"), c)
+    names = pairs.select("name").unionByName(pairs.select(F.col("parent").alias("name"))).where("name IS NOT NULL").distinct()
+    names = names.join(graph.labelled("Type").select("name"), "name", "left_anti").withColumn("node_id", key(F.col("name")))
+    nodes = names.select("node_id", F.col("node_id").alias("id"), "name", F.array(F.lit("Type")).alias("labels"))
+    props = names.select("node_id", F.explode(F.create_map(F.lit("id"), F.col("node_id"), F.lit("name"), F.col("name"))).alias("key", "raw")).withColumn("kind", F.lit("string"))
+    links = pairs.where("name IS NOT NULL AND parent IS NOT NULL").select(key(F.col("name")).alias("src"), F.lit("subClassOf").alias("rel_type"), key(F.col("parent")).alias("dst")).distinct()
+    links = links.join(graph.edges.select("src", "rel_type", "dst"), ["src", "rel_type", "dst"], "left_anti")
+    return graph.with_(nodes=graph.nodes.unionByName(full(nodes, NODES)), props=graph.props.unionByName(full(props, PROPS)), edges=graph.edges.unionByName(full(links, EDGES)))
+
+
+#: Kinds of values by type of a table's column.
+COLUMN_KINDS = {"string": "string", "boolean": "boolean", "double": "float", "float": "float", "bigint": "integer", "int": "integer", "smallint": "integer", "tinyint": "integer"}
+
+
+def import_entities(graph: Graph, table: DataFrame) -> Graph:
+    """With an entity per row of a table of any size, which has a column code; other columns become properties. Codes that an entity has already are left alone, nulls left out."""
+    new = table.where("code IS NOT NULL").dropDuplicates(["code"]).join(graph.labelled("Entity").select("code"), "code", "left_anti")
+    new = new.withColumn("node_id", F.concat(F.lit("urn:entity:"), "code"))
+    new = new if "id" in new.columns else new.withColumn("id", F.col("node_id"))
+    text = lambda c: F.col(c).cast("string") if c in new.columns else F.lit(None).cast("string")
+    nodes = new.select("node_id", "id", "code", text("name").alias("name"), text("type").alias("type"), F.array(F.lit("Entity")).alias("labels"))
+    values = []
+    for column, kind in new.dtypes:
+        if column != "node_id":
+            own = COLUMN_KINDS.get(kind, "list" if kind.startswith("array") else "map" if kind.startswith(("map", "struct")) else "string")
+            raw = F.to_json(column) if own in ("list", "map") else F.col(column).cast("double").cast("string") if own == "float" else F.col(column).cast("string")
+            num = F.col(column).cast("double") if own in ("integer", "float") else F.lit(None).cast("double")
+            values.append(F.struct(F.lit(column).alias("key"), F.lit(own).alias("kind"), raw.alias("raw"), num.alias("num")))
+    props = new.select("node_id", F.explode(F.array(*values)).alias("p")).select("node_id", "p.*").where("raw IS NOT NULL")
+    return graph.with_(nodes=graph.nodes.unionByName(full(nodes, NODES)), props=graph.props.unionByName(full(props, PROPS)))
+
+
 def create_patrol(graph: Graph, code: str, name: str, path: list | None = None, entities: list | None = None, **props) -> Graph:
     return insert(graph, [{"labels": ["Patrol"], "id": f"patrol:{code}", "code": code, "name": name, "path": path or [], "entities": entities or [], **props}])
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import FixpointError
 from ..functions.builtins import holds
 from ..operators.classes import instances
 from ..sources.graph import Graph
@@ -28,10 +29,14 @@ def base_facts(graph: Graph) -> DataFrame:
 
 @dataclass
 class Known:
-    """All facts so far: a graph's edges and derived facts. Atoms read the edges by relation type, so that their partitions are pruned."""
+    """All facts so far: a graph's edges and derived facts. Atoms read the edges by relation type, so that their partitions are pruned.
+
+    ``data`` are the predicates that have data facts; None if that isn't known.
+    """
 
     edges: DataFrame
     derived: list[DataFrame] = field(default_factory=list)
+    data: frozenset[str] | None = None
 
     def of(self, predicate: str, cls: str = "") -> DataFrame:
         """Facts (FACT) of a predicate; of class facts, those of one class."""
@@ -39,9 +44,13 @@ class Known:
         if cls:
             out = fact(self.edges.where((F.col("rel_type") == INSTANCE_OF) & (F.col("dst") == cls)), CLASS, "src", "dst")
         else:
-            out = fact(self.edges.where((F.col("rel_type") == HAS_VALUE) & (F.col("dst") == predicate)), DATA, "src", "value")
-            if predicate not in (HAS_VALUE, INSTANCE_OF):
-                out = fact(self.edges.where(F.col("rel_type") == predicate), RELATION, "src", "dst").unionByName(out)
+            if predicate in (HAS_VALUE, INSTANCE_OF):
+                out = None
+            else:
+                out = fact(self.edges.where(F.col("rel_type") == predicate), RELATION, "src", "dst")
+            if out is None or self.data is None or predicate in self.data:
+                values = fact(self.edges.where((F.col("rel_type") == HAS_VALUE) & (F.col("dst") == predicate)), DATA, "src", "value")
+                out = values if out is None else out.unionByName(values)
         for part in self.derived:
             out = out.unionByName(facts_of(part, predicate, cls))
         return out
@@ -69,27 +78,40 @@ def atom_rows(source: Known | DataFrame, atom: Atom) -> DataFrame:
     return rows.select(*(F.col(slot).alias(arg[1:]) for arg, slot in bound.items())) if bound else rows.select(F.lit(True).alias("__any")).limit(1)
 
 
-def joined(left: DataFrame | None, right: DataFrame) -> DataFrame:
-    """The natural join of bindings; a product only where they share no variable, as their meaning then is."""
+def joined(left: DataFrame | None, right: DataFrame, same: list[tuple[str, str]] = (), products: bool = False) -> DataFrame:
+    """The natural join of bindings, also on variables that ``same`` pairs. Bindings without either have a product, which must be asked for."""
     if left is None:
         return right
     shared = [c for c in left.columns if c in right.columns and c != "__any"]
-    right = right.drop("__any") if "__any" in left.columns else right
-    return left.join(right, shared) if shared else left.crossJoin(right)
+    if shared:
+        return left.join(right.drop("__any") if "__any" in left.columns else right, shared)
+    pairs = [p for a, b in same for p in ((a, b), (b, a)) if p[0] in left.columns and p[1] in right.columns]
+    if pairs:
+        return left.join(right, [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in pairs])
+    if "__any" not in left.columns and "__any" not in right.columns and not products:
+        raise FixpointError(f"atoms over {left.columns} and {right.columns} share no variable, so they have a product; ask for it by products=True")
+    return left.crossJoin(right.drop("__any") if "__any" in left.columns else right)
+
+
+def data_predicates(edges: DataFrame, rules: list[Rule]) -> frozenset[str]:
+    """Of the predicates in rule bodies, those that the graph has data facts of: one scan of the data edges, a row per predicate."""
+    names = {a.name for r in rules for a in (*r.body, *r.head) if a.relational}
+    found = edges.where((F.col("rel_type") == HAS_VALUE) & F.col("dst").isin(*names)).select("dst").distinct().collect() if names else []
+    return frozenset(r.dst for r in found)
 
 
-def bindings(graph: Graph, rule: Rule, sources: list[Known | DataFrame]) -> DataFrame:
+def bindings(graph: Graph, rule: Rule, sources: list[Known | DataFrame], products: bool = False) -> DataFrame:
     """The bindings of a rule's body; ``sources`` has the facts that each atom of ``rule.ordered()`` reads."""
-    rows = None
+    rows, same = None, [(a.args[0][1:], a.args[1][1:]) for a in rule.body if a.kind == SAME and all(x.startswith("?") for x in a.args)]
     for atom, facts in zip(rule.ordered(), sources):
-        rows = joined(rows, atom_rows(facts, atom))
+        rows = joined(rows, atom_rows(facts, atom), same, products)
     if rows is None:
         rows = graph.spark.range(1).select(F.lit(True).alias("__any"))
     for atom in rule.body:
         if atom.kind == QUERY:
             var = atom.args[0][1:]
             members = instances(graph, atom.name).withColumnRenamed("iri", var)
-            rows = rows.join(members, var, "left_semi") if var in rows.columns else joined(rows, members)
+            rows = rows.join(members, var, "left_semi") if var in rows.columns else joined(rows, members, same, products)
     properties = sorted({a for atom in rule.body for a in atom.args if a.startswith("?") and "." in a and a[1:].partition(".")[0] in rows.columns})
     for p in properties:
         var, _, key = p[1:].partition(".")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from enum import Enum
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Weights of match, cardinality, property and structure; thresholds of the modes.
 WEIGHTS = (0.35, 0.20, 0.25, 0.20)
 
@@ -35,6 +38,13 @@ def weighted(match: float, cardinal: float, prop: float, structural: float, weig
     return clamp(sum(clamp(v) * w for v, w in zip((match, cardinal, prop, structural), weights)) / total) if total else 0.0
 
 
+def weighted_column(match: Column, cardinal: Column, prop: Column, structural: Column, weights=WEIGHTS) -> Column:
+    """:func:`weighted` over columns."""
+    total = sum(weights)
+    clamped = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * w for v, w in zip((match, cardinal, prop, structural), weights)]
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(clamped[1:], clamped[0]) / total)) if total else F.lit(0.0)
+
+
 def rule_score(variables: int, atoms: int, bindings: int) -> float:
     """The confidence of a rule's results in one evaluation."""
     return weighted(min(1.0, variables / max(1, atoms)), 1.0, 1.0, max(1 / max(1, bindings), 0.1))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.graph import Graph
 from ..sources.work import written
 from ..vocab import HAS_VALUE, INSTANCE_OF
-from .compile import FACT, Known, bindings, head_predicates, heads
+from .compile import FACT, Known, bindings, data_predicates, head_predicates, heads
 from .confidence import Gate, Mode, rule_score
 from .rules import CLASS, DATA, Rule
 
@@ -51,9 +51,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def run(graph: Graph, rules: list[Rule], max_iterations: int = 100, threshold: float = Mode.BALANCED.value, version: str | None = None, on_round: Callable[[DataFrame], None] | None = None) -> Outcome:
+def run(graph: Graph, rules: list[Rule], max_iterations: int = 100, threshold: float = Mode.BALANCED.value, version: str | None = None, on_round: Callable[[DataFrame], None] | None = None, start: DataFrame | None = None, products: bool = False) -> Outcome:
     """Evaluate rules until no round makes a fact that is neither in the graph nor derived before.
 
+    With ``start``, facts (FACT) that the graph has got since its rules ran to their fixpoint, the first round too looks only at what these make.
+
     Each rule's results of a round pass the gate together or not at all. Rounds are written tables, so lineage stays short and a lost executor costs a stage.
     ``on_round`` gets each round's new facts; its first error stops the run.
     """
@@ -61,24 +63,24 @@ def run(graph: Graph, rules: list[Rule], max_iterations: int = 100, threshold: f
     spark, scope = graph.spark, graph.of_version(version)
     makes = head_predicates(rules)
     parts: list[DataFrame] = []
-    delta: DataFrame | None = None
+    delta, data = start, data_predicates(scope.edges, rules)
     state, rounds, derived, per_rule = State.RUNNING, 0, 0, dict.fromkeys((r.name for r in rules), 0)
     while state is State.RUNNING:
         if rounds >= max_iterations:
             state = State.MAX_ITERATIONS
             break
         rounds += 1
-        known = Known(scope.edges, parts)
+        known = Known(scope.edges, parts, data)
         candidates = []
         for k, rule in enumerate(rules):
             atoms = rule.ordered()
             if delta is None:
                 variants = [[known] * len(atoms)]
             else:
-                moving = [i for i, a in enumerate(atoms) if ((INSTANCE_OF, a.name) if a.kind == CLASS else (a.name, "")) in makes]
+                moving = [i for i, a in enumerate(atoms) if delta is start or ((INSTANCE_OF, a.name) if a.kind == CLASS else (a.name, "")) in makes]
                 variants = [[delta if i == j else known for j in range(len(atoms))] for i in moving]
             for sources in variants:
-                rows = bindings(scope, rule, sources)
+                rows = bindings(scope, rule, sources, products)
                 candidates += [made.withColumns({"rule_no": F.lit(k), "head_no": F.lit(h)}) for h, made in enumerate(heads(rule, rows))]
         if not candidates:
             state = State.CONVERGED
@@ -122,7 +124,8 @@ def with_facts(graph: Graph, facts: DataFrame, version: str | None = None) -> Gr
     return graph.with_(edges=graph.edges.unionByName(edges))
 
 
-def derive_once(graph: Graph, rule: Rule, version: str | None = None) -> DataFrame:
+def derive_once(graph: Graph, rule: Rule, version: str | None = None, products: bool = False) -> DataFrame:
     """The facts of one rule over the graph, as one lazy plan without dedup against known facts: (kind, subject, predicate, object)."""
     scope = graph.of_version(version)
-    return _union(heads(rule, bindings(scope, rule, [Known(scope.edges)] * len(rule.ordered())))).distinct()
+    known = Known(scope.edges, data=data_predicates(scope.edges, [rule]))
+    return _union(heads(rule, bindings(scope, rule, [known] * len(rule.ordered()), products))).distinct()

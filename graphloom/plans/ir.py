@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,6 +26,15 @@ class Plan:
     args: dict
 
 
+def parse_call(text: str) -> Plan:
+    """The call plan of ``func:name(key=value, key=value)``; values are texts."""
+    found = re.fullmatch(r"(?:func:)?([\w.-]+)\s*(?:\((.*)\))?", text.strip(), re.S)
+    if not found:
+        raise StoreError(f"not a call: {text!r}", "invalid_data")
+    pairs = [p.partition("=") for p in (found[2] or "").split(",") if p.strip()]
+    return Plan("call", {"function": found[1], "args": {k.strip(): v.strip().strip("'\"") for k, _, v in pairs}})
+
+
 def json_path(graph: Graph, code: str, path: str) -> DataFrame:
     """The value (column value) at a dotted path in a node's properties; maps and lists are kept as JSON text."""
     parts = path_parts(path)

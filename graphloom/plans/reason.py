@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import behavior, classes, shapes, traverse, versions
 from ..operators.behavior import passes
 from ..sources.graph import Graph
-from ..sources.work import written
+from ..sources.work import written, written_any
 from .confidence import Mode
 from .fixpoint import Outcome, run, with_facts
 from .rules import Parser, Rule
@@ -18,11 +18,23 @@ from .rules import Parser, Rule
 
 @dataclass
 class Report:
-    """The graph after an inference over nodes, its steps (start, node_id, hop, confidence, state), and how many properties were inherited."""
+    """The graph after an inference over nodes, and its steps (start, node_id, hop, confidence, state)."""
 
     graph: Graph
     steps: DataFrame
-    inherited: DataFrame
+    source: Graph
+    seeds: DataFrame
+
+    @property
+    def inherited(self) -> DataFrame:
+        """How many properties the seeds and what lies downstream inherit: (node_id, n). Found when asked for, and from these nodes only."""
+        below = traverse.inference_closure(self.source, self.seeds).select("node_id")
+        return traverse.inherited_props(self.source, of=self.seeds.select("node_id").unionByName(below)).where("depth > 0").groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+
+    @property
+    def states(self) -> DataFrame:
+        """Steps per hop and state: why branches end."""
+        return self.steps.groupBy("hop", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def reason_on_nodes(graph: Graph, seeds: DataFrame, version: str | None = None, confidence: float = 0.8, threshold: float = Mode.BALANCED.value, max_hops: int | None = None) -> Report:
@@ -31,28 +43,26 @@ def reason_on_nodes(graph: Graph, seeds: DataFrame, version: str | None = None,
     Each step multiplies the confidence by the node's own, where it has one. A node below the threshold, or whose precondition does not
     pass, is reported with state low_confidence or precondition, and its branch ends there. A ``max_hops`` that leaves nodes unreached is an error.
     """
-    above = traverse.ontology_closure(graph, seeds, max_hops).select("node_id")
-    below = traverse.inference_closure(graph, seeds, max_hops).select("node_id")
     if version is not None:
+        above = traverse.ontology_closure(graph, seeds, max_hops).select("node_id")
+        below = traverse.inference_closure(graph, seeds, max_hops).select("node_id")
         grown, mapping = versions.copy_nodes(graph, version, above.unionByName(below).distinct())
         mapping = written(mapping, "copies")
         grown = grown.with_(edges=grown.edges.unionByName(versions.copy_edges(graph, mapping, version)))
     else:
         grown = graph
-    touched = seeds.unionByName(below).select("node_id").distinct()
-    inherited = traverse.inherited_props(graph).where("depth > 0").join(touched, "node_id", "left_semi").groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
-
     own = graph.nodes.where("confidence IS NOT NULL").select("node_id", F.col("confidence").alias("own"))
     texts = graph.props.where("key = 'hasPrecondition'").select("node_id", F.col("raw").alias("precondition"))
+    keys = behavior.graph_keys(graph)
     edges = graph.edges.where("action_type = 'inference'").select("src", "dst")
     frontier = seeds.select(F.col("node_id").alias("start"), "node_id", F.lit(float(confidence)).alias("confidence")).distinct()
     out, visited = [], None
     for hop in traverse.hops(0, max_hops):
         scored = frontier.join(own, "node_id", "left").withColumn("confidence", F.col("confidence") * F.coalesce("own", F.lit(1.0))).drop("own")
-        judged = passes(graph, scored.join(texts, "node_id", "left"))
+        judged = passes(graph, scored.join(texts, "node_id", "left"), keys=keys)
         state = F.when(F.col("confidence") < threshold, "low_confidence").when(~F.col("passes"), "precondition").otherwise("ok")
-        level = written(judged.select("start", "node_id", F.lit(hop).alias("hop"), "confidence", state.alias("state")), "steps")
-        if level.isEmpty():
+        level, more = written_any(judged.select("start", "node_id", F.lit(hop).alias("hop"), "confidence", state.alias("state")), "steps")
+        if not more:
             break
         if max_hops is not None and hop > max_hops:
             raise RuntimeError(f"more steps lie beyond max_hops={max_hops}")
@@ -60,10 +70,10 @@ def reason_on_nodes(graph: Graph, seeds: DataFrame, version: str | None = None,
         visited = level.select("start", "node_id") if visited is None else visited.unionByName(level.select("start", "node_id"))
         ahead = level.where("state = 'ok'").select("start", F.col("node_id").alias("src"), "confidence").join(edges, "src")
         frontier = ahead.groupBy("start", F.col("dst").alias("node_id")).agg(F.max("confidence").alias("confidence")).join(visited, ["start", "node_id"], "left_anti")
-    steps = out[0]
-    for more in out[1:]:
-        steps = steps.unionByName(more)
-    return Report(grown, steps, inherited)
+    steps = level if not out else out[0]
+    for later in out[1:]:
+        steps = steps.unionByName(later)
+    return Report(grown, steps, graph, seeds)
 
 
 def narrated(steps: DataFrame) -> DataFrame:

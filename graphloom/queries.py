@@ -15,7 +15,7 @@ from .operators.pattern import Check, EdgePattern, NodePattern
 from .operators.shapes import Constraint, Path, PropertyShape, Shape, predicate
 from .plans import confidence, fixpoint, ir, reason
 from .plans.rules import Parser
-from .sources.graph import Graph, from_sales
+from .sources.graph import EDGES, Graph, from_sales, full
 
 #: The projection in SQL: nodes n, properties p and edges e.
 PRELUDE = """
@@ -206,27 +206,49 @@ dl("dl_min", classes.at_least(4, "contains"), "SELECT src AS iri FROM e WHERE re
 dl("dl_max", order & classes.at_most(2, "contains"), f"SELECT iri FROM i WHERE iri IN ({ORDER}) AND iri NOT IN (SELECT src FROM e WHERE rel = 'contains' GROUP BY 1 HAVING count(*) > 2)")
 dl("dl_exact", classes.exactly(3, "contains", classes.some("suppliedBy")), "SELECT src AS iri FROM e WHERE rel = 'contains' AND dst IN (SELECT src FROM e WHERE rel = 'suppliedBy') GROUP BY 1 HAVING count(*) = 3")
 dl("dl_oneof", classes.one_of("customer:1", "nation:2", "customer:1"), "SELECT unnest(['customer:1', 'nation:2']) AS iri")
-dl("dl_self", classes.has_self("locatedIn"), "SELECT iri FROM i WHERE iri IN (SELECT src FROM e WHERE rel = 'locatedIn' AND src = dst)")
 dl("dl_nested", "Intersection(ClassName(class:order),SomeValuesFrom(placedBy,Intersection(Complement(ClassName(class:segment:BUILDING)),SomeValuesFrom(locatedIn,OneOf(nation:1;nation:2)))))",
    f"SELECT iri FROM i WHERE iri IN ({ORDER}) AND iri IN (SELECT src FROM e WHERE rel = 'placedBy' AND dst NOT IN ({BUILDING}) AND dst IN (SELECT src FROM e WHERE rel = 'locatedIn' AND dst IN ('nation:1', 'nation:2')))")
 
 
-@query(f"SELECT NOT EXISTS (SELECT 1 FROM ({BUILDING}) WHERE src NOT IN ({CUSTOMER})) AS holds")
+@query("SELECT DISTINCT 'part:' || l_partkey AS iri FROM lineitem WHERE l_linenumber > 1")
+def dl_self(g):
+    """Self over a relation made of line items beyond an order's first: loops among other edges of that relation."""
+    items = g.spark.read.parquet(f"{g.source}/lineitem.parquet").where("l_linenumber > 1").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("src"))
+    loops = items.distinct().select("src", F.lit("likes").alias("rel_type"), F.col("src").alias("dst"))
+    others = g.edges.where("rel_type = 'suppliedBy'").select("src", F.lit("likes").alias("rel_type"), "dst")
+    return classes.instances(g.with_(edges=g.edges.unionByName(full(loops.unionByName(others), EDGES))), classes.has_self("likes"))
+
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("""SELECT s AS segment, NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = s AND c_acctbal IS NULL) AS in_customers, NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = s AND c_mktsegment <> 'BUILDING') AS in_building
+  FROM (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) AS s)""")
 def dl_subsumes(g):
-    return classes.subsumes(g, customer, building)
+    """Each segment below customers, which all are, and below one segment, which only that one is."""
+    rows = None
+    for x in SEGMENTS:
+        lower = classes.named(f"class:segment:{x}")
+        one = classes.subsumes(g, customer, lower).withColumnRenamed("holds", "in_customers").crossJoin(classes.subsumes(g, building, lower).withColumnRenamed("holds", "in_building")).select(F.lit(x).alias("segment"), "in_customers", "in_building")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
-@query(f"SELECT 'customer:1' IN ({BUILDING}) AS holds")
+@query(f"""SELECT 'customer:' || k AS iri, 'customer:' || k IN ({BUILDING}) AS holds FROM (SELECT unnest(range(12)) AS k)""")
 def dl_instance_of(g):
-    return classes.is_instance(g, "customer:1", building)
+    rows = [classes.is_instance(g, f"customer:{k}", building).select(F.lit(f"customer:{k}").alias("iri"), "holds") for k in range(12)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 # Rules
 
 
-def rule(name: str, text_: str, sql: str):
+def rule(name: str, text_: str, sql: str, products: bool = False):
     def make(g):
-        return fixpoint.derive_once(g, Parser().parse(text_)).select("subject", "predicate", "object")
+        return fixpoint.derive_once(g, Parser().parse(text_), products=products).select("subject", "predicate", "object")
 
     make.__name__ = name
     query(sql)(make)
@@ -244,10 +266,10 @@ rule("rule_data_body", "[total: prop:total(?o,?v) ^ swrlb:greaterThanOrEqual(?v,
      "SELECT 'order:' || o_orderkey AS subject, 'INSTANCE_OF' AS predicate, 'class:big' AS object FROM orders WHERE o_totalprice >= 300000")
 rule("rule_data_head", "[flag: class:nation(?n) -> prop:flag(?n, checked)]",
      "SELECT 'nation:' || n_nationkey AS subject, 'prop:flag' AS predicate, 'checked' AS object FROM nation")
-rule("rule_same", "[pair: locatedIn(?a,?n) ^ locatedIn(?n,?r) ^ locatedIn(?a,?m) ^ sameAs(?n,?m) -> inRegion(?a,?r)]",
-     "SELECT DISTINCT a.src AS subject, 'inRegion' AS predicate, b.dst AS object FROM e a JOIN e b ON a.dst = b.src WHERE a.rel = 'locatedIn' AND b.rel = 'locatedIn'")
+rule("rule_same", "[pair: placedBy(?o,?c) ^ contains(?o,?p) ^ suppliedBy(?p,?s) ^ locatedIn(?s,?m) ^ locatedIn(?c,?n) ^ sameAs(?n,?m) -> nearBy(?c,?s)]",
+     "SELECT DISTINCT c.dst AS subject, 'nearBy' AS predicate, s.dst AS object FROM e c JOIN e p ON p.src = c.src AND p.rel = 'contains' JOIN e s ON s.src = p.dst AND s.rel = 'suppliedBy' JOIN e m ON m.src = s.dst AND m.rel = 'locatedIn' JOIN e n ON n.src = c.dst AND n.rel = 'locatedIn' WHERE c.rel = 'placedBy' AND n.dst = m.dst")
 rule("rule_different", "[rivals: suppliedBy(part:1,?a) ^ suppliedBy(part:1,?b) ^ differentFrom(?a,?b) -> rivalOf(?a,?b)]",
-     "SELECT DISTINCT a.dst AS subject, 'rivalOf' AS predicate, b.dst AS object FROM e a, e b WHERE a.rel = 'suppliedBy' AND b.rel = 'suppliedBy' AND a.src = 'part:1' AND b.src = 'part:1' AND a.dst <> b.dst")
+     "SELECT DISTINCT a.dst AS subject, 'rivalOf' AS predicate, b.dst AS object FROM e a, e b WHERE a.rel = 'suppliedBy' AND b.rel = 'suppliedBy' AND a.src = 'part:1' AND b.src = 'part:1' AND a.dst <> b.dst", products=True)
 rule("rule_constant", "[home: locatedIn(?c,?n) ^ locatedIn(?n,region:1) -> class:inRegionOne(?c)]",
      "SELECT DISTINCT a.src AS subject, 'INSTANCE_OF' AS predicate, 'class:inRegionOne' AS object FROM e a JOIN e b ON a.dst = b.src WHERE a.rel = 'locatedIn' AND b.rel = 'locatedIn' AND b.dst = 'region:1'")
 rule("rule_dl_query", "[busy: placedBy(?o,?c) ^ query:{MinCardinality(5,contains,Top)}(?o) -> keenBuyer(?c,?o)]",
@@ -265,25 +287,12 @@ def rule_fixpoint_transitive(g):
     return facts(g, "[base: subClassOf(?a,?b) -> above(?a,?b)]\n[step: subClassOf(?a,?b) ^ above(?b,?c) -> above(?a,?c)]").select("subject", "predicate", "object", "rule")
 
 
-@query("""walk AS (SELECT src, dst, 1 AS d FROM e WHERE rel = 'next' AND src IN (SELECT 'event:' || event_id FROM events WHERE event_id < 50)
-    UNION ALL SELECT walk.src, e.dst, d + 1 FROM walk JOIN e ON e.src = walk.dst AND rel = 'next' WHERE d < 4)
-  SELECT src AS subject, dst AS object, d::INTEGER AS iter FROM walk""".replace("walk AS", ", walk AS", 1), recursive=True)
-def rule_fixpoint_rounds(g):
-    """Four rounds of a linear rule from some seeds: a fact's round is its distance."""
-    seeds = g.spark.range(50).select(F.concat(F.lit("event:"), F.col("id").cast("string")).alias("src"), F.lit("seed").alias("rel_type"), F.lit("yes").alias("dst"))
-    from .sources.graph import EDGES, full
-
-    g = g.with_(edges=g.edges.unionByName(full(seeds, EDGES)))
-    out = facts(g, "[base: seed(?a,yes) ^ next(?a,?b) -> later(?a,?b)]\n[step: later(?a,?b) ^ next(?b,?c) -> later(?a,?c)]", max_iterations=4)
-    return out.select("subject", "object", "iter")
-
-
-@query(""", walk AS (SELECT src, dst, 1 AS d FROM e WHERE rel = 'next'
-    UNION ALL SELECT walk.src, e.dst, d + 1 FROM walk JOIN e ON e.src = walk.dst AND rel = 'next')
-  SELECT src AS subject, dst AS object, d::INTEGER AS iter FROM walk""", recursive=True)
+@query("""SELECT a.src AS subject, b.dst AS object, (1 + ceil(log2(b.k - a.k + 1)))::INTEGER AS iter FROM
+  (SELECT 'event:' || event_id AS src, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) a
+  JOIN (SELECT 'event:' || event_id AS dst, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) b ON a.user_id = b.user_id AND b.k >= a.k""")
 def rule_fixpoint_events(g):
-    """The rule of :func:`rule_fixpoint_rounds` over all events, to its fixpoint: as many rounds as the longest chain has events."""
-    rules = Parser().parse_all("[base: next(?a,?b) -> later(?a,?b)]\n[step: later(?a,?b) ^ next(?b,?c) -> later(?a,?c)]")
+    """A recursive rule over all events to its fixpoint: a fact's round grows with the logarithm of its distance, as derived facts meet each other."""
+    rules = Parser().parse_all("[base: next(?a,?b) -> later(?a,?b)]\n[step: later(?a,?b) ^ later(?b,?c) -> later(?a,?c)]")
     out = fixpoint.run(g, rules, max_iterations=sys.maxsize)
     if out.state is not fixpoint.State.CONVERGED:
         raise RuntimeError(f"the rules did not converge: {out.state.value}")
@@ -309,12 +318,13 @@ def rule_confidence(g):
     return facts(g, "[place: class:region(?r) -> class:place(?r)]").select("subject", "predicate", "object", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT 0 AS derived, true AS tripped", graph=True)
+@query("""SELECT (SELECT count(*) FROM region) AS derived, 1 AS trips, 'weak' AS rule, round(0.35 / 15 + 0.45 + 0.2 * greatest(1.0 / (SELECT count(*) FROM region), 0.1), 6) AS score, 'class:strong' AS made""")
 def rule_fuse_strict(g):
-    """A body of one variable and many atoms scores below a threshold of 0.9, and its rule is discarded."""
+    """Of two rules over the same facts the one with a body of many atoms and one variable scores below the threshold and makes nothing."""
     body = " ^ ".join(["class:region(?r)"] * 15)
-    out = fixpoint.run(g, [Parser().parse(f"[weak: {body} -> class:place(?r)]")], threshold=0.9)
-    return g.spark.createDataFrame([(out.derived, out.gate.tripped)], "derived int, tripped boolean")
+    out = fixpoint.run(g, Parser().parse_all(f"[weak: {body} -> class:place(?r)]\n[strong: class:region(?r) -> class:strong(?r)]"), threshold=0.6)
+    score, _, name = out.gate.trips[0]
+    return out.facts.groupBy(F.col("object").alias("made")).agg(F.count(F.lit(1)).alias("derived")).withColumns({"trips": F.lit(len(set(out.gate.trips))), "rule": F.lit(name), "score": F.round(F.lit(score), 6)})
 
 
 # Traversal
@@ -339,21 +349,13 @@ def bfs_both(g):
     return traverse.explore(g, starts(g, "nation:1"), 2, "both", "locatedIn").select("start", "node", "hop")
 
 
-@query("""SELECT 'order:' || o_orderkey AS start, 'customer:' || o_custkey AS node, round(least(1.0, greatest(0.0, c_acctbal / 10000)), 6) AS confidence, least(1.0, greatest(0.0, c_acctbal / 10000)) < 0.5 AS blocked
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 200""")
-def bfs_confidence_stop(g):
-    seeds = g.nodes.where(F.col("node_id").startswith("order:") & (F.substring_index("node_id", ":", -1).try_cast("bigint") < 200)).select("node_id")
-    return traverse.explore(g, seeds, 3, relation="placedBy", threshold=0.5).select("start", "node", F.round("confidence", 6).alias("confidence"), "blocked")
-
-
 def orders(g: Graph) -> DataFrame:
     return g.nodes.where(F.col("node_id").startswith("order:")).select("node_id")
 
 
 @query("""SELECT 'order:' || o_orderkey AS start, 'customer:' || o_custkey AS node, round(least(1.0, greatest(0.0, c_acctbal / 10000)), 6) AS confidence, least(1.0, greatest(0.0, c_acctbal / 10000)) < 0.5 AS blocked
   FROM orders JOIN customer ON o_custkey = c_custkey""")
-def bfs_confidence_stop_all(g):
-    """:func:`bfs_confidence_stop` from every order."""
+def bfs_confidence_stop(g):
     return traverse.explore(g, orders(g), 3, relation="placedBy", threshold=0.5).select("start", "node", F.round("confidence", 6).alias("confidence"), "blocked")
 
 
@@ -371,9 +373,9 @@ def inherit_props(g):
 
 
 @query("""SELECT rel_type, n, array_to_string(samples, ',') AS samples FROM (
-  SELECT rel AS rel_type, count(*) AS n, list_slice(list(DISTINCT dst ORDER BY dst), 1, 3) AS samples FROM e GROUP BY 1) ORDER BY n DESC, rel_type LIMIT 15""")
+  SELECT rel AS rel_type, count(*) AS n, list_slice(list(DISTINCT dst ORDER BY dst), 1, 3) AS samples FROM e GROUP BY 1) ORDER BY n DESC, rel_type LIMIT 5""")
 def rel_summary_top(g):
-    return traverse.summarize_relations(g.edges).select("rel_type", "n", F.array_join("samples", ",").alias("samples"))
+    return traverse.summarize_relations(g.edges, 5).select("rel_type", "n", F.array_join("samples", ",").alias("samples"))
 
 
 @query("""SELECT node_id, rel_type, n, place::INTEGER AS place FROM (SELECT src AS node_id, rel AS rel_type, count(*) AS n, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, rel) AS place FROM e GROUP BY 1, 2) WHERE place <= 2""")
@@ -393,19 +395,10 @@ def ontology_closure(g):
     return traverse.ontology_closure(g, starts(g, "nation:1"))
 
 
-@query("""SELECT start, node_id, hop::INTEGER AS hop, round(conf, 6) AS confidence, CASE WHEN conf < 0.3 THEN 'low_confidence' ELSE 'ok' END AS state FROM (
-  SELECT 'order:' || o_orderkey AS start, 'order:' || o_orderkey AS node_id, 0 AS hop, 0.8 AS conf FROM orders WHERE o_orderkey < 100
-  UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 1, 0.8 * least(1.0, greatest(0.0, c_acctbal / 10000)) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 100)""")
-def pipeline_confidence(g):
-    seeds = g.nodes.where(F.col("node_id").startswith("order:") & (F.substring_index("node_id", ":", -1).try_cast("bigint") < 100)).select("node_id")
-    return reason.reason_on_nodes(g, seeds).steps.withColumn("confidence", F.round("confidence", 6))
-
-
 @query("""SELECT start, node_id, hop::INTEGER AS hop, round(conf, 6) AS confidence, CASE WHEN conf < 0.3 THEN 'low_confidence' ELSE 'ok' END AS state FROM (
   SELECT 'order:' || o_orderkey AS start, 'order:' || o_orderkey AS node_id, 0 AS hop, 0.8 AS conf FROM orders
   UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 1, 0.8 * least(1.0, greatest(0.0, c_acctbal / 10000)) FROM orders JOIN customer ON o_custkey = c_custkey)""")
-def pipeline_confidence_all(g):
-    """:func:`pipeline_confidence` from every order."""
+def pipeline_confidence(g):
     return reason.reason_on_nodes(g, orders(g)).steps.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -430,8 +423,9 @@ shacl("min_count", "Event", predicate("contains"), C("min_count", 3), "SELECT no
 shacl("max_count", "Event", predicate("contains"), C("max_count", 5), "SELECT src AS focus, 'max_count' AS component FROM e WHERE rel = 'contains' GROUP BY 1 HAVING count(*) > 5")
 shacl("required", "Entity", predicate("p_size"), C("required"), "SELECT node_id AS focus, 'required' AS component FROM n WHERE label = 'Entity' AND node_id NOT LIKE 'part:%'")
 shacl("datatype", "Entity", predicate("p_size"), C("datatype", "String"), "SELECT node_id AS focus, 'datatype' AS component FROM p WHERE key = 'p_size'")
+shacl("datatype_mixed", "Entity", Path("alternative", (predicate("p_size"), predicate("p_retailprice"), predicate("p_brand"))), C("datatype", "Int"), "SELECT node_id AS focus, 'datatype' AS component FROM p WHERE key IN ('p_retailprice', 'p_brand')")
 shacl("range", "Entity", predicate("c_acctbal"), C("min_inclusive", 0), "SELECT node_id AS focus, 'min_inclusive' AS component FROM p WHERE key = 'c_acctbal' AND num < 0")
-shacl("max_exclusive", "Entity", predicate("p_retailprice"), C("max_exclusive", 1000), "SELECT node_id AS focus, 'max_exclusive' AS component FROM p WHERE key = 'p_retailprice' AND num >= 1000")
+shacl("max_exclusive", "Entity", predicate("p_retailprice"), C("max_exclusive", 910), "SELECT node_id AS focus, 'max_exclusive' AS component FROM p WHERE key = 'p_retailprice' AND num >= 910")
 shacl("length", "Entity", predicate("c_mktsegment"), C("max_length", 8), "SELECT node_id AS focus, 'max_length' AS component FROM p WHERE key = 'c_mktsegment' AND length(s) > 8")
 shacl("pattern", "Entity", predicate("p_brand"), C("pattern", "^Brand#[12]"), "SELECT node_id AS focus, 'pattern' AS component FROM p WHERE key = 'p_brand' AND NOT regexp_matches(s, '^Brand#[12]')")
 shacl("in", "Entity", predicate("c_mktsegment"), C("in", ("BUILDING", "MACHINERY")), "SELECT node_id AS focus, 'in' AS component FROM p WHERE key = 'c_mktsegment' AND s NOT IN ('BUILDING', 'MACHINERY')")
@@ -439,7 +433,7 @@ shacl("has_value", "Event", predicate("o_orderstatus"), C("has_value", "F"), "SE
 shacl("unique", "Entity", predicate("p_brand"), C("unique"), "SELECT node_id AS focus, 'unique' AS component FROM p WHERE key = 'p_brand' AND s IN (SELECT s FROM p WHERE key = 'p_brand' GROUP BY 1 HAVING count(*) > 1)")
 shacl("logic", "Entity", predicate("p_size"), C("xone", (C("min_inclusive", 10), C("max_inclusive", 20))), "SELECT node_id AS focus, 'xone' AS component FROM p WHERE key = 'p_size' AND num BETWEEN 10 AND 20")
 shacl("not", "Entity", predicate("p_size"), C("not", (C("min_inclusive", 40),)), "SELECT node_id AS focus, 'not' AS component FROM p WHERE key = 'p_size' AND num >= 40")
-shacl("class", "Entity", predicate("locatedIn"), C("class", "Event"), "SELECT src AS focus, 'class' AS component FROM e JOIN n ON node_id = src WHERE rel = 'locatedIn' AND label = 'Entity'")
+shacl("class", "Entity", Path("alternative", (predicate("locatedIn"), predicate("suppliedBy"))), C("class", "Type"), "SELECT src AS focus, 'class' AS component FROM e JOIN n ON node_id = src WHERE rel = 'suppliedBy' AND label = 'Entity'")
 shacl("qualified", "Event", Path("sequence", (predicate("contains"), predicate("p_size"))), C("qualified_min", (2, C("min_inclusive", 25))),
       "SELECT node_id AS focus, 'qualified_min' AS component FROM n WHERE label = 'Event' AND node_id NOT IN (SELECT src FROM e JOIN p ON p.node_id = dst AND key = 'p_size' WHERE rel = 'contains' AND num >= 25 GROUP BY 1 HAVING count(*) >= 2)")
 shacl("path_seq", "Event", Path("sequence", (predicate("placedBy"), predicate("locatedIn"), predicate("n_name"))), C("in", ("FRANCE", "CHINA", "NATION_1", "NATION_2")),
@@ -468,9 +462,10 @@ def _two_shapes() -> list[Shape]:
     ]
 
 
-@query("SELECT node_id AS focus, 'class' AS component FROM n WHERE label = 'Entity' AND node_id NOT LIKE '%x%'")
+@query("SELECT node_id AS focus, 'class' AS component FROM n WHERE node_id LIKE 'customer:%' OR node_id LIKE 'supplier:%'")
 def shacl_node_class(g):
-    return shapes.validate(g, [Shape("N", (("class", "Entity"),), (), (C("class", "Event"),))]).select("focus", "component")
+    """Nodes with an edge locatedIn: types among them conform, entities don't."""
+    return shapes.validate(g, [Shape("N", (("subjects_of", "locatedIn"),), (), (C("class", "Type"),))]).select("focus", "component")
 
 
 @query("SELECT DISTINCT dst AS focus FROM e WHERE rel = 'placedBy'")
@@ -481,15 +476,20 @@ def shacl_objects_of(g):
 # Behaviours
 
 
-PRE = {"precondition": "c_acctbal > 5000", "negated": "c_mktsegment != BUILDING", "regex": "c_name matches \"7$\"", "there": "exists(p_size)", "needed": "required(c_name)"}
+#: Preconditions and what they mean in SQL, over parts (size is an integer, price a float, brand and name strings).
+PRE = (
+    ("p_size > 20", "p_size > 20"), ("p_size < 20", "p_size < 20"), ("p_size >= 20", "p_size >= 20"), ("p_retailprice <= 950.5", "p_retailprice <= 950.5"), ("p_brand = Brand#2", "p_brand = 'Brand#2'"),
+    ("p_brand == Brand#2", "p_brand = 'Brand#2'"), ("p_brand != 'Brand#2'", "p_brand <> 'Brand#2'"), ('p_name matches "^s.*g$"', "regexp_matches(p_name, '^s.*g$')"), ("exists(p_size)", "true"), ("required(c_name)", "false"),
+    ("", "true"), ("False", "false"), ("TRUE", "true"), ("p_brand > 5", "false"), ("gone != 1", "true"), ("gone = 1", "false"), ("anything else", "true"),
+)
 
 
-@query("SELECT 'customer:' || c_custkey AS node_id, c_acctbal > 5000 AS a, c_mktsegment <> 'BUILDING' AS b, regexp_matches(c_name, '7$') AS c, false AS d, true AS x FROM customer")
+@query("SELECT node_id, k, passes FROM (SELECT 'part:' || p_partkey AS node_id, unnest(range(17)) AS k, unnest([" + ", ".join(sql for _, sql in PRE) + "]) AS passes FROM part)")
 def behavior_precondition(g):
-    rows = g.nodes.where(F.col("node_id").startswith("customer:")).select("node_id")
-    for column, t in zip("abcdx", PRE.values()):
-        rows = behavior.passes(g, rows.withColumn("t", F.lit(t)), "t").drop("t").withColumnRenamed("passes", column)
-    return rows
+    """Every form of a precondition on every part."""
+    texts = F.array(*(F.lit(t) for t, _ in PRE))
+    rows = g.nodes.where(F.col("node_id").startswith("part:")).select("node_id", F.posexplode(texts).alias("k", "precondition"))
+    return behavior.passes(g, rows, keys=["p_size", "p_retailprice", "p_brand", "p_name", "c_name", "gone"]).select("node_id", F.col("k").cast("bigint").alias("k"), "passes")
 
 
 def with_behaviors(g: Graph) -> Graph:
@@ -501,32 +501,16 @@ def with_behaviors(g: Graph) -> Graph:
     return versions.update_props(g, rows.withColumn("kind", F.lit("string")))
 
 
-@query("""SELECT node_id, priority, duration, passes, row_number() OVER (ORDER BY priority DESC, duration, node_id) AS place FROM (
-  SELECT 'part:' || p_partkey AS node_id, least(10, p_size % 15)::BIGINT AS priority, (p_partkey % 7)::BIGINT AS duration, p_size >= 10 AS passes FROM part) ORDER BY place LIMIT 40""")
-def behavior_order(g):
-    rows = behavior.batch(with_behaviors(g)).orderBy("order_key").limit(40)
-    return rows.selectExpr("node_id", "priority", "duration", "passes", "row_number() OVER (ORDER BY order_key) AS place").withColumn("place", F.col("place").cast("bigint"))
-
-
 @query("""SELECT node_id, priority, duration, passes, row_number() OVER (ORDER BY priority DESC, duration, node_id) AS place FROM (
   SELECT 'part:' || p_partkey AS node_id, least(10, p_size % 15)::BIGINT AS priority, (p_partkey % 7)::BIGINT AS duration, p_size >= 10 AS passes FROM part)""")
-def behavior_order_all(g):
-    """:func:`behavior_order` with every behaviour in its place."""
+def behavior_order(g):
     return behavior.placed(behavior.batch(with_behaviors(g))).select("node_id", "priority", "duration", "passes", "place")
 
 
-@query(""", l AS (SELECT 'part:' || a.p_partkey AS at, 'part:' || b.p_partkey AS part FROM part a JOIN part b ON a.p_partkey % 10 = 0 AND b.p_partkey IN (a.p_partkey + 1, a.p_partkey + 10) WHERE a.p_size >= 10),
-  c AS (SELECT 'part:' || p_partkey AS root, 'part:' || p_partkey AS node_id, 0 AS depth FROM part UNION SELECT c.root, l.part, depth + 1 FROM c JOIN l ON l.at = c.node_id WHERE depth < 3)
-  SELECT root, node_id, depth::INTEGER AS depth FROM c""", recursive=True)
-def behavior_composed(g):
-    return behavior.composed(with_behaviors(g), 3)
-
-
 @query(""", l AS (SELECT 'part:' || a.p_partkey AS at, 'part:' || b.p_partkey AS part FROM part a JOIN part b ON a.p_partkey % 10 = 0 AND b.p_partkey IN (a.p_partkey + 1, a.p_partkey + 10) WHERE a.p_size >= 10),
   c AS (SELECT 'part:' || p_partkey AS root, 'part:' || p_partkey AS node_id, 0 AS depth FROM part UNION SELECT c.root, l.part, depth + 1 FROM c JOIN l ON l.at = c.node_id WHERE depth < 5)
   SELECT root, node_id, depth::INTEGER AS depth FROM c""", recursive=True)
-def behavior_composed_all(g):
-    """:func:`behavior_composed` down to the operator's own depth."""
+def behavior_composed(g):
     return behavior.composed(with_behaviors(g))
 
 
@@ -625,10 +609,16 @@ def engagement_score(spark, d):
 # Texts, values and differences
 
 
-@query("""SELECT src AS source, dst AS target, 'locatedIn' AS relation, p.key, NULL::VARCHAR AS old, p.s AS new, 'added' AS change FROM e JOIN p ON p.node_id = dst WHERE rel = 'locatedIn' AND src LIKE 'customer:%'""")
+@query("""SELECT e.src AS source, e.dst AS target, 'locatedIn' AS relation, p.key, NULL::VARCHAR AS old, p.s AS new, 'added' AS change FROM e JOIN p ON p.node_id = dst WHERE rel = 'locatedIn' AND src LIKE 'customer:%'
+  UNION ALL SELECT 'part:' || p_partkey, 'part:' || (p_partkey + 1), 'before', 'p_brand', p_brand, b, 'changed' FROM (SELECT *, lead(p_brand) OVER (ORDER BY p_partkey) AS b FROM part) WHERE b <> p_brand
+  UNION ALL SELECT 'part:' || p_partkey, 'part:' || (p_partkey + 1), 'before', 'p_size', p_size::VARCHAR, b::VARCHAR, 'changed' FROM (SELECT *, lead(p_size) OVER (ORDER BY p_partkey) AS b FROM part) WHERE b <> p_size""")
 def attr_diff(g):
+    """What customers lack of their nation's properties, and where the brand or size of a part differs from that of the next one."""
     pairs = g.edges.where((F.col("rel_type") == "locatedIn") & F.col("src").startswith("customer:")).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel_type").alias("relation"))
-    return detect.detect(g, pairs, [])
+    k = F.substring_index("node_id", ":", -1).cast("bigint") + 1
+    after = g.nodes.where(F.col("node_id").startswith("part:")).select(F.col("node_id").alias("source"), F.concat(F.lit("part:"), k.cast("string")).alias("target"), F.lit("before").alias("relation"))
+    some = g.with_(props=g.props.where(~F.col("key").isin("p_name", "p_retailprice")))
+    return detect.detect(some, pairs.unionByName(after), [detect.attribute_changes])
 
 
 @query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'rdfs' WHEN 1 THEN 'owl2' WHEN 2 THEN 'swrl' WHEN 3 THEN 'sh' WHEN 4 THEN 'rule' WHEN 5 THEN 'func' END AS prefix, CASE WHEN event_id % 8 < 6 THEN event_type END AS body FROM events""", graph=False)
@@ -668,15 +658,24 @@ def rule_builtins(spark, d):
     )
 
 
-@query("SELECT v, least(10, greatest(0, coalesce(try_cast(trim(v) AS BIGINT), 0))) AS priority, coalesce(try_cast(trim(v) AS BIGINT), 0) AS duration FROM (SELECT unnest(['', '5', ' 10 ', '15', '-3', 'high']) AS v)", graph=False)
+NUMBERS = "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' || o_custkey % 15 || ' ' WHEN 2 THEN '-' || o_custkey % 9 WHEN 3 THEN o_orderpriority ELSE o_custkey::VARCHAR END"
+
+
+@query(f"SELECT o_orderkey, least(10, greatest(0, coalesce(try_cast(trim(v) AS BIGINT), 0))) AS priority, coalesce(try_cast(trim(v) AS BIGINT), 0) AS duration FROM (SELECT o_orderkey, {NUMBERS} AS v FROM orders)", graph=False)
 def behavior_numbers(spark, d):
-    rows = spark.createDataFrame([(v,) for v in ("", "5", " 10 ", "15", "-3", "high")], "v string")
-    return rows.select("v", text.clamped_priority(F.col("v")).alias("priority"), text.duration(F.col("v")).alias("duration"))
+    """Priorities and durations from texts of all orders: numbers, blanks, words."""
+    k, cust = F.col("o_orderkey") % 5, F.col("o_custkey")
+    v = F.when(k == 0, "").when(k == 1, F.concat(F.lit(" "), (cust % 15).cast("string"), F.lit(" "))).when(k == 2, F.concat(F.lit("-"), (cust % 9).cast("string"))).when(k == 3, F.col("o_orderpriority")).otherwise(cust.cast("string"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text.clamped_priority(v).alias("priority"), text.duration(v).alias("duration"))
 
 
-@query("SELECT round(0.35 * 0.8 + 0.2 * 0.5 + 0.25 * 0.9 + 0.2 * 0.7, 6)::DOUBLE AS score, 0.15::DOUBLE AS permissive, 0.5::DOUBLE AS strict", graph=False)
+@query("""SELECT c_custkey, round(0.35 * least(1, greatest(0, c_acctbal / 10000)) + 0.2 * (c_custkey % 11) / 10 + 0.25 * least(1, (c_custkey % 13) / 10) + 0.2 * 0.5, 8) AS score,
+  round(0.35 * least(1, greatest(0, c_acctbal / 10000)) + 0.2 * (c_custkey % 11) / 10 + 0.25 * least(1, (c_custkey % 13) / 10) + 0.2 * 0.5, 8) >= 0.5 AS strict FROM customer""", graph=False)
 def confidence_score(spark, d):
-    return spark.createDataFrame([(round(confidence.weighted(0.8, 0.5, 0.9, 0.7), 6), confidence.Mode.PERMISSIVE.value, confidence.Mode.of("WarFighting").value)], "score double, permissive double, strict double")
+    """The weighted mean over a measure of every customer, and what the strict mode lets through; measures outside 0 to 1 are clamped."""
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    score = F.round(confidence.weighted_column(F.col("c_acctbal") / 10000, (F.col("c_custkey") % 11) / 10, (F.col("c_custkey") % 13) / 10, F.lit(0.5)), 8)
+    return rows.select("c_custkey", score.alias("score"), (score >= confidence.Mode.of("WarFighting").value).alias("strict"))
 
 
 @query("SELECT 'customer:' || c_custkey AS node_id, c_name AS code FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND c_mktsegment = 'BUILDING' AND contains(lower(c_name), '7')")
@@ -707,8 +706,11 @@ def stream_counts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import operator_queries  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

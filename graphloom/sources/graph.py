@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ EDGES = "src string, rel_type string, dst string, action_type string, version st
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes`` has a row per node, ``props`` a row per node and key (typed values, see values.py), ``edges`` a row per edge.
+    """``nodes`` has a row per node, ``props`` a row per node and key (typed values, see values.py), ``edges`` a row per edge; ``source`` names where they come from.
 
     All operators read these lazily, so filters on labels and relation types reach the scans. A graph is never changed: writes return another one.
     """
@@ -30,6 +31,7 @@ class Graph:
     nodes: DataFrame
     props: DataFrame
     edges: DataFrame
+    source: str | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -59,6 +61,15 @@ class Graph:
         names = F.array_distinct(F.array_compact(F.array("node_id", "iri", "id", "code")))
         return self.nodes.select(F.explode(names).alias("alias"), "node_id")
 
+    def named(self, names: list[str]) -> DataFrame:
+        """The nodes that have any of the names as key, iri, id or code."""
+        if not names:
+            return self.nodes.where(F.lit(False))
+        hit = F.col("node_id").isin(*names)
+        for c in ("iri", "id", "code"):
+            hit = hit | F.col(c).isin(*names)
+        return self.nodes.where(hit)
+
     def health(self) -> DataFrame:
         """Nodes per label."""
         return self.nodes.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -98,7 +109,10 @@ def from_views(spark: SparkSession, nodes: str = "nodes", edges: str = "edges",
 def from_jdbc(spark: SparkSession, url: str, options: dict[str, str] | None = None, **tables: str) -> Graph:
     """The three tables over JDBC (names by keyword: nodes, edges, props)."""
     read = lambda t: spark.read.format("jdbc").options(url=url, dbtable=tables.get(t, t), **(options or {})).load()
-    return from_frames(read("nodes"), read("edges"), read("props"))
+    lower = lambda t: read(t).transform(lambda df: df.toDF(*(c.lower() for c in df.columns)))
+    nodes = lower("nodes")
+    nodes = nodes.withColumn("labels", F.split("labels", ",")) if dict(nodes.dtypes).get("labels") == "string" else nodes
+    return from_frames(nodes, lower("edges").withColumnRenamed("prop_value", "value"), lower("props").withColumnRenamed("prop_key", "key"))
 
 
 def from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict]) -> Graph:
@@ -119,6 +133,44 @@ def from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict]) -> Grap
     return Graph(spark.createDataFrame(rows, NODES), frame, spark.createDataFrame(links, EDGES))
 
 
+class Store(Protocol):
+    """Where a graph lives. Anything with these two methods is one; operators see only the graph."""
+
+    def graph(self, spark: SparkSession) -> Graph: ...
+
+    def save(self, graph: Graph) -> None: ...
+
+
+@dataclass(frozen=True)
+class ParquetStore:
+    path: str
+
+    def graph(self, spark: SparkSession) -> Graph:
+        return from_parquet(spark, self.path)
+
+    def save(self, graph: Graph) -> None:
+        graph.save(self.path)
+
+
+@dataclass(frozen=True)
+class JdbcStore:
+    url: str
+    options: tuple[tuple[str, str], ...] = ()
+
+    def graph(self, spark: SparkSession) -> Graph:
+        return from_jdbc(spark, self.url, dict(self.options))
+
+    def save(self, graph: Graph) -> None:
+        """Labels, which not every database has lists for, are written as one text and read back as a list."""
+        for name, frame in (("nodes", graph.nodes.withColumn("labels", F.array_join("labels", ","))), ("props", graph.props.withColumnRenamed("key", "prop_key")), ("edges", graph.edges.withColumnRenamed("value", "prop_value"))):
+            frame.write.format("jdbc").options(url=self.url, dbtable=name, **dict(self.options)).mode("append").save()
+
+
+def build(store: Store, spark: SparkSession) -> Graph:
+    """The graph of a store."""
+    return store.graph(spark)
+
+
 def open_graph(spark: SparkSession, path: str | None, fallback: Graph | None = None) -> Graph:
     """The graph at ``path`` or, if it can't be read, the fallback; an empty graph without one."""
     if path:
@@ -145,9 +197,9 @@ def from_sales(spark: SparkSession, sf_dir: str) -> Graph:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _loaded:
         path = f"{work_dir(spark)}/graph-{uuid.uuid4().hex}"
-        project_sales(spark, sf_dir).save(path, spread=0)
+        project_sales(spark, sf_dir).save(path, spread=4)
         _loaded[key] = path
-    return from_parquet(spark, _loaded[key])
+    return from_parquet(spark, _loaded[key]).with_(source=sf_dir)
 
 
 def project_sales(spark: SparkSession, sf_dir: str) -> Graph:

@@ -9,6 +9,10 @@ from ..plans.rules import Parser, Rule
 from .graph import Graph
 
 
+#: What ends a word of a rule's text; names may have colons, slashes, hashes, dots and hyphens inside.
+WORD_ENDS = r"[^\w:/#.-]+"
+
+
 def read_rules(spark: SparkSession, path: str, parser: Parser | None = None) -> list[Rule]:
     """The rules of the text files at a path that Spark can read; rule sets are small and parsed on the driver."""
     texts = [r.value for r in spark.read.text(path, wholetext=True).orderBy(F.input_file_name()).collect()]
@@ -16,15 +20,17 @@ def read_rules(spark: SparkSession, path: str, parser: Parser | None = None) ->
 
 
 def find_rules(spark: SparkSession, path: str, edges: DataFrame) -> DataFrame:
-    """Edges (src, rel_type, dst) with the rule files that mention any of the three: (src, rel_type, dst, rule_name, source_file).
+    """Edges (src, rel_type, dst) with the rule files that have any of the three as a word: (src, rel_type, dst, rule_name, source_file).
 
-    The name of a file's first rule in brackets is shown, else the file's. Files are few; their words are matched, not all pairs.
+    The name of a file's first rule in brackets is shown, else the file's. Names are joined with the distinct words of the files, by equality.
     """
     files = spark.read.text(path, wholetext=True).withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.\w+$", 1))
     first = F.regexp_extract("value", r"(?m)^.*?\[([^\]\n]*)\]", 1)
     named = files.select("source_file", "value", F.when(first != "", first).otherwise(F.col("source_file")).alias("rule_name"))
-    wanted = F.col("value").contains(F.col("rel_type")) | F.col("value").contains(F.col("src")) | F.col("value").contains(F.col("dst"))
-    return edges.join(F.broadcast(named), wanted).select("src", "rel_type", "dst", "rule_name", "source_file")
+    said = named.select("source_file", "rule_name", F.explode(F.array_distinct(F.split("value", WORD_ENDS))).alias("word")).where("word <> ''")
+    out = ["src", "rel_type", "dst"]
+    hits = [edges.join(said, F.col(c) == F.col("word")).select(*out, "rule_name", "source_file") for c in out]
+    return hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()
 
 
 def rule_nodes(graph: Graph) -> DataFrame:

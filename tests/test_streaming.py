@@ -36,3 +36,19 @@ def test_windowed_counts(spark, tmp_path):
         q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
     assert {tuple(r) for r in spark.table("counts").collect()} == {tuple(r) for r in relation_counts(event_edges(events)).collect()}
+
+
+def test_a_stream_goes_on_behind_its_state(spark, tmp_path):
+    schema = "src string, rel_type string, dst string"
+    rules = Parser().parse_all("[a: p(?x,?y) -> q(?x,?y)]\n[b: q(?x,?y) ^ q(?y,?z) -> q(?x,?z)]")
+    base, found = from_rows(spark, [], [{"src": "a", "rel_type": "p", "dst": "b"}, {"src": "a", "rel_type": "q", "dst": "b"}]), {}
+    sink = lambda facts, n: found.setdefault(n, []).append({(r.subject, r.object) for r in facts.collect()})
+    one = lambda a, b: spark.createDataFrame([(a, "p", b)], schema)
+    RuleStream(base, rules, sink, state=f"{tmp_path}/s")(one("b", "c"), 4)
+    again = RuleStream(base, rules, sink, state=f"{tmp_path}/s")
+    assert again.last == 4
+    again(one("b", "c"), 4)
+    again(one("d", "e"), 5)
+    again(one("c", "d"), 6)
+    assert found == {4: [{("b", "c"), ("a", "c")}], 5: [{("d", "e")}], 6: [{("c", "d"), ("b", "d"), ("a", "d"), ("c", "e"), ("b", "e"), ("a", "e")}]}
+    assert again.graph.edges.where("rel_type = 'q'").count() == 10
