@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import filter_bits, filter_of, maybe_in, worker_cache, written, written_any
 
-#: Bytes of a window and of its anchor; text bytes that one bucket, and one task of a shuffle, stand for.
-WINDOW, ANCHOR, BUCKET_BYTES, TASK_BYTES = 50, 12, 8 << 20, 32 << 20
+#: Bytes of a window and of its anchor; text bytes that one bucket, and one task of a shuffle, stand for; most tasks.
+WINDOW, ANCHOR, BUCKET_BYTES, TASK_BYTES, MAX_TASKS = 50, 12, 8 << 20, 12 << 20, 100_000
 
 #: Places of an anchor before the end of a window, counted from 0.
 PLACES = WINDOW - ANCHOR
 
 #: Bytes of texts that a worker looks at together; runs that it holds before it passes them on.
-SEGMENT, HELD = 1 << 20, 500_000
+SEGMENT, HELD = 1 << 19, 300_000
 
 #: Different runs of one anchor among the runs held, above which the anchor is split by its next digits.
 SPLIT = 64
@@ -557,7 +557,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sub = ((F.crc32("data") - (1 << 31)) if repeated else F.lit(0)).cast("int").alias("sub")
     summary = summary.withColumn("sub", F.col("crc") if repeated else F.lit(0)).drop("crc")
     bits = max(8, min(24, (total // BUCKET_BYTES).bit_length()))
-    tasks = max(8, total // TASK_BYTES)
+    tasks = min(MAX_TASKS, max(8, total // TASK_BYTES))
     texts = texts.select("id", sub, "data")
     parts = lost_parts(texts, bits, tasks).withColumnRenamed("doc", "id").repartition(tasks, "id", "sub")
     # a list no longer than the document has places for
