@@ -386,10 +386,10 @@ def shacl_shape_set(g):
     return shapes.grouped(shapes.validate(g, known), "focus")
 
 
-@query("SELECT node_id AS focus, 'too small' AS message, 'order more' AS suggestion, 'Info' AS severity, s AS value FROM p WHERE key = 'p_size' AND num < 25 AND node_id IN (SELECT dst FROM e WHERE src = 'order:1' AND rel = 'contains')")
+@query("SELECT node_id AS focus, 'too small' AS message, 'order more' AS suggestion, 'Info' AS severity, s AS value FROM p WHERE key = 'p_size' AND num < 60 AND node_id IN (SELECT dst FROM e WHERE src = 'order:1' AND rel = 'contains')")
 def shacl_only_some(g):
     """Validation of some nodes only, with a message, a suggestion and a severity."""
-    shape = Shape("Size", (ENTITY,), (PropertyShape(predicate("p_size"), (C("min_inclusive", 25),), shapes.INFO, False, "too small", "order more"),))
+    shape = Shape("Size", (ENTITY,), (PropertyShape(predicate("p_size"), (C("min_inclusive", 60),), shapes.INFO, False, "too small", "order more"),))
     some = pattern.relationships(g, "order:1", "contains").select(F.col("dst").alias("focus"))
     return shapes.validate(g, [shape], only=some).select("focus", "message", "suggestion", "severity", "value")
 
