@@ -84,3 +84,47 @@ def test_long_texts_in_blocks(monkeypatch):
         monkeypatch.setattr(op, "LONG", size)
         for t, w in zip(texts, want):
             np.testing.assert_allclose(op.long_statistics(t, kinds), w, rtol=1e-9, atol=1e-12)
+
+
+def test_scores_against_plain_numpy(spark):
+    """The whole fit again on the driver: closed-form ridge over cosine features, and isotonic regression by its min-max formula."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0).alias("aside")).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    kinds = op.byte_kinds()
+    stats = np.array([op.statistics(r.text or "", kinds) for r in rows], np.float32).astype(float)
+    train = np.array([r.doc_id in labels for r in rows])
+    y = np.array([labels.get(r.doc_id, 0) for r in rows], float)
+    aside = train & np.array([r.aside for r in rows])
+    mean, spread = stats[train].mean(0), np.sqrt(np.maximum(stats[train].var(0), 1e-8)) + 1e-4
+    z = np.clip((stats - mean) / spread, -6, 6)
+    rng = np.random.Generator(np.random.PCG64(4))
+    w, b = rng.standard_normal((op.N_STATS, op.FEATURES)) / np.sqrt(op.N_STATS), rng.uniform(0, 2 * np.pi, op.FEATURES)
+    x = np.hstack([np.cos(z @ w + b) * np.sqrt(2 / op.FEATURES), z / np.sqrt(op.N_STATS), np.ones((len(z), 1))])
+    fitted = train & ~aside
+    a = np.vstack([x[fitted], np.sqrt(op.RIDGE * fitted.sum()) * np.eye(x.shape[1])])
+    raw = x @ np.linalg.lstsq(a, np.concatenate([y[fitted], np.zeros(x.shape[1])]), rcond=None)[0]
+    at = np.clip(((raw + 0.5) * op.BINS / 2).astype(int), 0, op.BINS - 1)
+    used = sorted(set(at[aside]))
+    n, hits = [(at[aside] == k).sum() for k in used], [y[aside][at[aside] == k].sum() for k in used]
+    level = [max(min(sum(hits[i : j + 1]) / sum(n[i : j + 1]) for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))]
+    knots, values = [], []
+    for v in sorted(set(np.round(level, 12))):
+        own = [k for k in range(len(used)) if round(level[k], 12) == v]
+        knots.append(2 * (sum(n[k] * used[k] for k in own) / sum(n[k] for k in own) + 0.5) / op.BINS - 0.5)
+        values.append(v)
+    knots, values = [1 / op.BINS - 0.5, *knots, 2 * (op.BINS - 0.5) / op.BINS - 0.5], [values[0], *values, values[-1]]
+    want = np.clip(np.interp(raw, knots, np.clip(values, 0, 1) * 0.998 + 0.002 * (np.array(knots) + 0.5) / 2), 0, 1)
+    got = {r.doc_id: r.score for r in op4_quality(spark, d).collect()}
+    np.testing.assert_allclose([got[r.doc_id] for r in rows], want, atol=1e-6)
+
+
+def test_statistics_by_hand():
+    row = op.statistics("Aa aa! aa!!\n\nB bb", op.byte_kinds())
+    n, size = 5, len("Aa aa! aa!!\n\nB bb")
+    lengths = [2, 3, 4, 1, 2]
+    want = [7 / size, 2 / size, 0, 3 / size, 2 / size, 0, 3 / size, 0, 0, 0, 0, np.log1p(n), np.mean(lengths), np.std(lengths), np.log1p(4), 5 / 5, 5 / np.sqrt(5), 1 / 5, 0, 4 / 4, 2 / 5, 0, 0, 2 / 5, 0, 1 / 5, np.log1p(5 / 2), 2 / 2]
+    np.testing.assert_allclose(row, want)

@@ -39,3 +39,11 @@ def test_automaton_with_many_globs():
     assert masks["words"] > 2
     first = op.run_automaton([".{}#{}".format(*op.split_url(u)).encode() for u in urls], masks)
     assert [masks["rules"][k] if k >= 0 else (None, "allow") for k in first] == [naive(u, rules)[2:] for u in urls]
+
+
+def test_odd_ids_and_an_own_split(spark):
+    """Null and repeated ids; hosts and paths by hand."""
+    cases = [("http://A.example.org/es/q?x#y", "a.example.org", "/es/q", "example.org/es/", "block"), ("x://Com/fr/", "com", "/fr/", "com/fr/", "allow"), ("no scheme", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://h.net#f/x", "h.net", "", None, "allow")]
+    rows = [(i, u) for u, *_ in cases for i in (None, 7, 7)]
+    got = [tuple(r) for r in op.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()]
+    assert sorted(got, key=repr) == sorted(((i, *rest) for _, *rest in cases for i in (None, 7, 7)), key=repr)
