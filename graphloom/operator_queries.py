@@ -309,7 +309,7 @@ def vocabulary_terms(spark, d):
     return rows(spark, [(t, of(t)) for t in ("Class", "ObjectProperty", "SubClassOf", "ClassAssertion", "nothing", "label", "symmetric")], "term string, rdf string")
 
 
-@query("SELECT c_custkey, abs(c_acctbal) AS size, (c_custkey % 2 = 1) AS negated, contains(',' || c_mktsegment || ',', ',MACHINERY,') AS listed, 3 AS items, c_custkey * 2 - 1 AS less, c_custkey * 3 AS times, ends_with(c_name, '7') AS ends, c_custkey <> 5 AS other, c_acctbal <= 5000 AS low, c_acctbal < 5000 AS lower FROM customer", graph=False)
+@query("SELECT c_custkey, abs(c_acctbal) AS size, (c_custkey % 2 = 1) AS negated, contains(',' || c_mktsegment || ',', ',MACHINERY,') AS listed, 3::BIGINT AS items, c_custkey * 2 - 1 AS less, c_custkey * 3 AS times, ends_with(c_name, '7') AS ends, c_custkey <> 5 AS other, c_acctbal <= 5000 AS low, c_acctbal < 5000 AS lower FROM customer", graph=False)
 def rule_builtins_more(spark, d):
     """The built-ins that the rules of other queries don't use, on every customer."""
     b, c = builtins.BUILTINS, F.col
@@ -374,7 +374,7 @@ report("paths_shown", lambda g: shapes.validate(g, one(ENTITY, Path("sequence",
        "SELECT 'suppliedBy/^suppliedBy' AS path, 'Violation' AS severity, count(*) AS n FROM (SELECT a.src FROM (SELECT DISTINCT src, dst FROM e WHERE rel = 'suppliedBy') a JOIN (SELECT DISTINCT src, dst FROM e WHERE rel = 'suppliedBy') b ON a.dst = b.dst GROUP BY 1 HAVING count(*) > 40) HAVING count(*) > 0")
 
 
-@query("SELECT node_id AS focus, 1 AS n FROM p WHERE key = 'p_size' AND num < 25")
+@query("SELECT node_id AS focus, 1::BIGINT AS n FROM p WHERE key = 'p_size' AND num < 25")
 def shacl_shape_set(g):
     """A set in which a shape is replaced by name, one is removed, one is switched off, and one property is; results by focus node."""
     known = Shapes()
@@ -429,7 +429,7 @@ def pipeline_version(g):
     return out.steps.select("start", "hop", "node_id", "state").join(mapped, "start").withColumn("copies", F.lit(n))
 
 
-@query("SELECT 'customer:' || c_custkey AS node_id, 3 AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'customer:' || c_custkey AS node_id, 3::BIGINT AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def pipeline_inherited(g):
     """How many properties customers downstream of any order have from nation, region and world."""
     return reason.reason_on_nodes(g, orders(g)).inherited
@@ -440,7 +440,7 @@ def pipeline_states(g):
     return reason.reason_on_nodes(g, orders(g)).states
 
 
-@query("SELECT 'shipsFrom' AS predicate, (SELECT count(DISTINCT (a.src, b.dst)) FROM e a JOIN e b ON a.dst = b.src WHERE a.rel = 'placedBy' AND b.rel = 'locatedIn') AS n, true AS below, true AS member, 1 AS rules, (SELECT count(*) FROM p WHERE key = 'c_acctbal' AND num < 0) AS violations")
+@query("SELECT 'shipsFrom' AS predicate, (SELECT count(DISTINCT (a.src, b.dst)) FROM e a JOIN e b ON a.dst = b.src WHERE a.rel = 'placedBy' AND b.rel = 'locatedIn') AS n, true AS below, true AS member, 1::BIGINT AS rules, (SELECT count(*) FROM p WHERE key = 'c_acctbal' AND num < 0) AS violations")
 def reasoner_facade(g):
     """Rules, queries and shapes over one graph, through the facade."""
     r = reason.Reasoner(g)
@@ -449,7 +449,7 @@ def reasoner_facade(g):
     r.shapes.add(Shape("Balance", (("subjects_of", "c_acctbal"),), (PropertyShape(predicate("c_acctbal"), (C("min_inclusive", 0),)),)))
     below, member = r.is_subclass("ClassName(class:segment:BUILDING)", "ClassName(class:customer)"), r.is_instance("order:1", "SomeValuesFrom(shipsFrom,Top)")
     made = r.graph.edges.where("rel_type = 'shipsFrom'").groupBy(F.col("rel_type").alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
-    return made.withColumns({"below": F.lit(below), "member": F.lit(member), "rules": F.lit(len(r.list_rules())).cast("bigint"), "violations": F.lit(r.validate().count())})
+    return made.withColumns({"below": F.lit(below), "member": F.lit(member), "rules": F.lit(len(r.list_rules())).cast("bigint"), "violations": F.lit(r.validate().count()).cast("bigint")})
 
 
 @query("SELECT iri, holds FROM (SELECT 'individuals' AS iri, count(*) AS holds FROM i UNION ALL SELECT 'key', count(*) FROM e WHERE rel = 'INSTANCE_OF' AND dst = 'class:part')")
