@@ -532,9 +532,10 @@ def lost_parts(texts: DataFrame, bits: int, tasks: int) -> DataFrame:
     kind, out, depth, more = F.col("kind"), None, 0, True
     rows = texts.mapInArrow(run_pass(bits), RECORDS)
     while more:
-        # lost parts pass through, spread evenly; the rest meets by node and bucket
-        where = F.when(kind == LOST, F.xxhash64("doc", "data")).otherwise(F.xxhash64("node", "bucket"))
-        dealt_out = rows.withColumn("at", where).repartition(tasks, "at").sortWithinPartitions("node", "bucket", "kind").drop("at")
+        # lost parts pass through, spread evenly; the rest meets by node and bucket, with as many buckets of a node in each task, as they are even
+        spread = lambda *of: F.pmod(F.xxhash64(*of), F.lit(tasks))
+        where = F.when(kind == LOST, spread("doc", "data")).otherwise(spread("node") + F.col("bucket"))
+        dealt_out = rows.withColumn("at", F.pmod(where, F.lit(tasks)).cast("int")).repartitionById(tasks, "at").sortWithinPartitions("node", "bucket", "kind").drop("at")
         done, more = written_any(dealt_out.mapInArrow(bucket_pass(bits, depth), RECORDS), "runs", kind != LOST)
         lost = done.where(kind == LOST).select("doc", "sub", "data")
         out = lost if out is None else out.unionByName(lost)
