@@ -30,7 +30,7 @@ WINDOW, ANCHOR, BUCKET_BYTES, TASK_BYTES, MAX_TASKS = 50, 12, 8 << 20, 12 << 20,
 PLACES = WINDOW - ANCHOR
 
 #: Bytes of texts that a worker looks at together; runs that it holds before it passes them on.
-SEGMENT, HELD = 1 << 19, 300_000
+SEGMENT, HELD = 1 << 19, 200_000
 
 #: Different runs of one anchor among the runs held, above which the anchor is split by its next digits.
 SPLIT = 64
@@ -177,6 +177,13 @@ def joined(parts: list[tuple]) -> tuple:
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def taken(parts: list[tuple]) -> tuple:
+    """The parts joined; the list is emptied, so that they are not held twice."""
+    runs = joined(parts)
+    parts.clear()
+    return runs
+
+
 def extent(runs: tuple):
     """Bytes of each run from the anchor on, and before it."""
     return (runs[RIGHT] != FILL).sum(1, dtype="int64"), (runs[LEFT] != FILL).sum(1, dtype="int64")
@@ -346,26 +353,34 @@ def flushed(node: Node, runs: tuple, bits: int, split: int) -> Iterator[tuple]:
 
     gone, runs, group = settled(runs, True)
     yield from lost_rows(*gone)
-    key = node.key(runs)
-    if node.low < node.high:
-        by = np.lexsort((group, key))
-        k, g = key[by], group[by]
-        head = np.ones(len(by), bool)
-        head[1:] = k[1:] != k[:-1]
-        fresh = head.copy()
-        fresh[1:] |= g[1:] != g[:-1]
-        number = np.cumsum(head) - 1
-        hot = np.zeros(len(by), bool)
-        hot[by] = (np.bincount(number, fresh) > split)[number] if len(by) else False
-        if hot.any():
-            marks = by[head & hot[by]]
-            bucket = (key[marks] >> np.uint64(64 - bits)).astype(np.int64)
-            for b in np.unique(bucket).tolist():
-                yield node.number, b, SPLIT_UP, None, None, key[marks[bucket == b]].tobytes()
-            for part in node.parts():
-                yield from flushed(part, part.cut(picked(runs, hot)), bits, split)
-            runs, key = picked(runs, ~hot), key[~hot]
+    key, below = node.key(runs), None
+    if node.low < node.high and (hot := crowded(key, group, split)).any():
+        mark = np.unique(key[hot])
+        bucket = (mark >> np.uint64(64 - bits)).astype(np.int64)
+        for b in np.unique(bucket).tolist():
+            yield node.number, b, SPLIT_UP, None, None, mark[bucket == b].tobytes()
+        below, runs, key = picked(runs, hot), picked(runs, ~hot), key[~hot]
     yield from dealt(node, runs, key, bits)
+    if below is not None:
+        del gone, runs, group, key, hot, mark, bucket  # only what goes on is held
+        for part in node.parts():
+            yield from flushed(part, part.cut(below), bits, split)
+
+
+def crowded(key, group, split: int):
+    """Whether each run's key has more than ``split`` different runs, by their groups."""
+    import numpy as np
+
+    by = np.lexsort((group, key))
+    k, g = key[by], group[by]
+    head = np.ones(len(by), bool)
+    head[1:] = k[1:] != k[:-1]
+    fresh = head.copy()
+    fresh[1:] |= g[1:] != g[:-1]
+    number = np.cumsum(head) - 1
+    hot = np.zeros(len(by), bool)
+    hot[by] = (np.bincount(number, fresh) > split)[number] if len(by) else False
+    return hot
 
 
 def run_pass(bits: int):
@@ -389,10 +404,10 @@ def run_pass(bits: int):
                     parts.append((right, left, doc, sub, place, place))
                     size += len(own)
                     if size >= most:
-                        yield from flushed(root, joined(parts), bits, split)
-                        parts, size = [], 0
+                        yield from flushed(root, taken(parts), bits, split)
+                        size = 0
             if parts:
-                yield from flushed(root, joined(parts), bits, split)
+                yield from flushed(root, taken(parts), bits, split)
 
         yield from as_batches(rows())
 
@@ -477,9 +492,7 @@ def bucket_pass(bits: int, depth: int):
 
             def close():
                 if parts:
-                    node = Node.of(at[0])
-                    yield from solved(node, joined(parts), np.concatenate([np.empty(0, np.uint64), *marks]), bits)
-                parts.clear()
+                    yield from solved(Node.of(at[0]), taken(parts), np.concatenate([np.empty(0, np.uint64), *marks]), bits)
                 marks.clear()
 
             for batch in batches:
