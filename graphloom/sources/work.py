@@ -6,11 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -27,9 +31,27 @@ def work_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back; its schema is known, so no job looks for one in the files."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the store that holds it; nothing happens where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that :func:`written` writes inside the block, in this thread; it is removed when the block ends, so no DataFrame over it may outlive the block."""
+    folder = f"{work_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(before)
+        remove(spark, folder)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written once and read back; its schema is known, so no job looks for one in the files. ``path`` names a place of the caller's own, which no scratch block removes."""
+    path = path or f"{_scratch.get() or work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
