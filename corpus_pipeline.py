@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import table, written
+from graphloom.llm.common import table
 from graphloom.llm.decontaminate import drop_contaminated
 from graphloom.llm.exact_dedup import drop_exact_copies
 from graphloom.llm.packing import pack
 from graphloom.llm.quality import drop_low_quality
 from graphloom.llm.queries import tokenizer_path
 from graphloom.llm.simhash import drop_near_duplicates
+from graphloom.sources.work import remove, scratch, work_dir, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of all stages. A stage's intermediates go once its documents are written, and these once the next stage's are; those of the last but one stay for the result to read."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        place = f"{work_dir(spark)}/stage-{uuid.uuid4().hex}"
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), "stage", place)
+        if before:
+            remove(spark, before)
+        before = place
     return STAGES[-1][1](spark, docs, sf_dir)

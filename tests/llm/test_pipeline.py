@@ -1,9 +1,12 @@
+import os
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from graphloom.llm import quality  # noqa: E402
 from graphloom.llm.queries import op4_quality  # noqa: E402
+from graphloom.sources.work import work_dir  # noqa: E402
 from tests.llm import test_decontaminate, test_exact_dedup, test_simhash, test_tokens  # noqa: E402
 
 D = "/root/testdata/sf0.001"
@@ -35,7 +38,9 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert set(got) == want, name
         assert all(got[i] == kept[i] for i in got)
         kept = got
+    held = set(os.listdir(work_dir(spark)))
     run = corpus_pipeline.run(spark, D).collect()
+    assert [f.partition("-")[0] for f in set(os.listdir(work_dir(spark))) - held] == ["stage"]
     test_tokens.check_packing(run, kept)
 
 
