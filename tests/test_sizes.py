@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import DataFrame
 
-import __spark_entry__ as entry
 from graphloom.sources.work import IN_MEMORY, sized
 from tests.test_whole import both
 
@@ -44,7 +43,10 @@ def built(plan):
             yield "\n".join(lines[k + 1 : sides[1]] if "BuildLeft" in x else lines[sides[1] : end])
 
 
-QUERIES = ["incoming_edges"]
+QUERIES = [
+    "incoming_edges",
+    "inference_by_prefix",
+]
 
 
 @pytest.mark.parametrize("name", QUERIES)
