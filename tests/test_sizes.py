@@ -46,6 +46,7 @@ def built(plan):
 QUERIES = [
     "incoming_edges",
     "inference_by_prefix",
+    "inference_closure",
 ]
 
 
