@@ -47,6 +47,7 @@ QUERIES = [
     "incoming_edges",
     "inference_by_prefix",
     "inference_closure",
+    "dl_min",
 ]
 
 
