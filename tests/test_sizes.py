@@ -48,6 +48,7 @@ QUERIES = [
     "inference_by_prefix",
     "inference_closure",
     "dl_min",
+    "plan_variants",
 ]
 
 
