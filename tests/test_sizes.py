@@ -49,6 +49,7 @@ QUERIES = [
     "inference_closure",
     "dl_min",
     "plan_variants",
+    "shacl_min_count",
 ]
 
 
