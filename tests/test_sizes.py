@@ -50,6 +50,7 @@ QUERIES = [
     "dl_min",
     "plan_variants",
     "shacl_min_count",
+    "shacl_node_class",
 ]
 
 
