@@ -51,6 +51,7 @@ QUERIES = [
     "plan_variants",
     "shacl_min_count",
     "shacl_node_class",
+    "shacl_node_logic",
 ]
 
 
