@@ -52,6 +52,7 @@ QUERIES = [
     "shacl_min_count",
     "shacl_node_class",
     "shacl_node_logic",
+    "discover_downstream",
 ]
 
 
