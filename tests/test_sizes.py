@@ -53,6 +53,7 @@ QUERIES = [
     "shacl_node_class",
     "shacl_node_logic",
     "discover_downstream",
+    "pattern_incoming",
 ]
 
 
