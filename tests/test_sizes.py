@@ -3,6 +3,10 @@
 import pytest
 from pyspark.sql import DataFrame
 
+from graphloom.operators import shapes
+from graphloom.operators.shapes import Constraint as C
+from graphloom.operators.shapes import Path, PropertyShape, Shape, predicate
+from graphloom.sources.graph import from_rows
 from graphloom.sources.work import IN_MEMORY, sized
 from tests.test_whole import both
 
@@ -75,3 +79,31 @@ def test_a_factor_of_the_sessions_owner_stays(spark):
         assert float(spark.conf.get(FACTOR)) == IN_MEMORY
     finally:
         spark.conf.set(FACTOR, before)
+
+
+def made(node):
+    """The rows that each operator of an executed plan made: (name, rows)."""
+    name = node.nodeName()
+    inner = [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in name else []
+    below = node.children()
+    rows = node.metrics().get("numOutputRows")
+    if rows.isDefined():
+        yield name, rows.get().value()
+    for x in [*inner, *(below.apply(i) for i in range(below.size()))]:
+        yield from made(x)
+
+
+def test_paths_that_are_only_counted_are_not_multiplied_out(spark):
+    nodes = [{"labels": ["Entity"], "id": f"part{i}", "size": i} for i in range(600)] + [{"labels": ["Type"], "id": f"hub{i}"} for i in range(2)]
+    edges = [{"src": f"part{i}", "rel_type": "by", "dst": f"hub{h}"} for i in range(600) for h in range(2) if h == 0 or i < 7]
+    g = from_rows(spark, nodes, edges + edges[-1:])
+    there = Path("sequence", (predicate("by"), Path("inverse", (predicate("by"),))))
+    df = shapes.validate(g, [Shape("S", (("class", "Entity"),), (PropertyShape(there, (C("max_count", 601),)),))]).select("focus", "value")
+    # 600 ways over the first hub; over the second 7, one of them by a doubled edge
+    assert sorted(df.collect()) == sorted((f"part{i}", "608") for i in range(7))
+    joins = [n for name, n in made(df._jdf.queryExecution().executedPlan()) if "Join" in name]
+    assert joins and max(joins) < 10_000
+    sizes = Path("sequence", (*there.parts, predicate("size")))
+    hits = shapes.validate(g, [Shape("S", (("class", "Entity"),), (PropertyShape(sizes, (C("qualified_min", (301, C("min_inclusive", 300))), C("has_value", 3), C("min_count", 600))),))])
+    assert sorted(r[0] for r in hits.groupBy("component").count().select("count").collect()) == [600]
+    assert {r.component for r in hits.collect()} == {"qualified_min"}
