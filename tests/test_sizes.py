@@ -58,6 +58,7 @@ QUERIES = [
     "shacl_node_logic",
     "discover_downstream",
     "pattern_incoming",
+    "dl_exact",
 ]
 
 
