@@ -59,6 +59,7 @@ QUERIES = [
     "discover_downstream",
     "pattern_incoming",
     "dl_exact",
+    "dl_max",
 ]
 
 
