@@ -60,6 +60,7 @@ QUERIES = [
     "pattern_incoming",
     "dl_exact",
     "dl_max",
+    "rule_dl_query",
 ]
 
 
