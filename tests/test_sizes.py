@@ -61,6 +61,7 @@ QUERIES = [
     "dl_exact",
     "dl_max",
     "rule_dl_query",
+    "shacl_has_value",
 ]
 
 
