@@ -62,6 +62,7 @@ QUERIES = [
     "dl_max",
     "rule_dl_query",
     "shacl_has_value",
+    "shacl_summary",
 ]
 
 
