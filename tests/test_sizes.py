@@ -63,6 +63,7 @@ QUERIES = [
     "rule_dl_query",
     "shacl_has_value",
     "shacl_summary",
+    "explore_counts",
 ]
 
 
