@@ -64,6 +64,7 @@ QUERIES = [
     "shacl_has_value",
     "shacl_summary",
     "explore_counts",
+    "shacl_path_seq",
 ]
 
 
