@@ -65,6 +65,7 @@ QUERIES = [
     "shacl_summary",
     "explore_counts",
     "shacl_path_seq",
+    "bfs_confidence_stop",
 ]
 
 
