@@ -66,6 +66,7 @@ QUERIES = [
     "explore_counts",
     "shacl_path_seq",
     "bfs_confidence_stop",
+    "pipeline_inherited",
 ]
 
 
