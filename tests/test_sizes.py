@@ -67,6 +67,7 @@ QUERIES = [
     "shacl_path_seq",
     "bfs_confidence_stop",
     "pipeline_inherited",
+    "pipeline_version",
 ]
 
 
