@@ -68,6 +68,7 @@ QUERIES = [
     "bfs_confidence_stop",
     "pipeline_inherited",
     "pipeline_version",
+    "reasoner_facade",
 ]
 
 
