@@ -2,7 +2,9 @@
 
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphloom.operators import shapes
 from graphloom.operators.shapes import Constraint as C
 from graphloom.operators.shapes import Path, PropertyShape, Shape, predicate
@@ -118,3 +120,10 @@ def test_paths_that_are_only_counted_are_not_multiplied_out(spark):
     hits = shapes.validate(g, [Shape("S", (("class", "Entity"),), (PropertyShape(sizes, (C("qualified_min", (301, C("min_inclusive", 300))), C("has_value", 3), C("min_count", 600))),))])
     assert sorted(r[0] for r in hits.groupBy("component").count().select("count").collect()) == [600]
     assert {r.component for r in hits.collect()} == {"qualified_min"}
+
+
+def test_pairs_of_a_small_file_are_made_in_many_tasks(spark):
+    got, want = both(spark, "haversine_pairs")
+    assert got == want and got
+    pairs = entry.queries()["haversine_pairs"](spark, D)
+    assert pairs.select(F.spark_partition_id().alias("at")).distinct().count() >= 4
